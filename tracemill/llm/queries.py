@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import match_benchmark
+from .packing import pack
+from .simhash import near_duplicates
 from .url_filter import Rule, filter_urls
 
 URL_RULES = [
@@ -23,6 +25,21 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = match_benchmark(docs, read_table(spark, sf_dir, "benchmark"))
@@ -32,6 +49,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_url_filter": op4_url_filter,
+    "op5_simhash": op5_simhash,
+    "op8_pack": op8_pack,
     "op10_decontaminate": op10_decontaminate,
 }
 
