@@ -9,6 +9,7 @@ from .common import read_table
 from .decontaminate import match_benchmark
 from .packing import pack
 from .simhash import near_duplicates
+from .toxicity import Settings, fit, remainder, score
 from .url_filter import Rule, filter_urls
 
 URL_RULES = [
@@ -30,6 +31,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, read_table(spark, sf_dir, "labels"), remainder() != 2)
+    scored = score(docs, model)
+    return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", (F.col("score") >= Settings().threshold).cast("int").alias("predicted"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -50,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_pack": op8_pack,
     "op10_decontaminate": op10_decontaminate,
 }
