@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_model
+from . import secrets as secret_scan
+from . import spans as S
 from .common import id_text, read_table
 from .decontaminate import match_benchmark
 from .packing import pack
@@ -62,6 +64,19 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    names = [r.kind for r in secret_scan.RULES]
+    base = F.filter("marks", lambda x: x["k"] < len(secret_scan.BASE))
+    count = lambda k: F.size(F.filter("marks", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE)],
+        F.sha2(S.digest_text(base, names, by_start=True), 256).alias("base_sha256"),
+        S.digest_text(F.col("marks"), names, by_start=True).alias("spans"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = match_benchmark(docs, read_table(spark, sf_dir, "benchmark"))
@@ -76,10 +91,38 @@ QUERIES = {
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
     "op8_pack": op8_pack,
+    "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 
+def _spans_sql(rules) -> str:
+    """DuckDB SQL: a table m(doc_id, k, s, e) of the rules' matches, from the stretches between matches."""
+    parts = []
+    for k, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS k, unnest(list_transform(range(1, len(h) + 1), lambda i: {{'s': list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0), 'm': h[i]}})) AS x
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS h, regexp_split_to_array(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}'))
+  WHERE len(h) > 0""")
+    keep = " ".join(f"WHEN k = {k} THEN length(regexp_extract(x.m, '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.group})) >= {r.least}" for k, r in enumerate(rules))
+    union = "\nUNION ALL\n".join(parts)
+    return f"""d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({union}),
+m AS (SELECT doc_id, k, CAST(x.s AS BIGINT) AS s, CAST(x.s AS BIGINT) + length(x.m) AS e FROM a WHERE CASE {keep} END)"""
+
+
+def _secrets_sql() -> str:
+    rules = secret_scan.RULES
+    names = ", ".join(f"'{r.kind}'" for r in rules)
+    return f"""WITH {_spans_sql(rules)},
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(secret_scan.BASE))},
+  string_agg([{names}][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < {len(secret_scan.BASE)}) AS base,
+  string_agg([{names}][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM m GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)"""
+
+
 SQL = {
+    "op9_secrets": _secrets_sql(),
     "op4_url_filter": r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
