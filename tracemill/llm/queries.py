@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model
+from . import language_model, pii
 from . import secrets as secret_scan
 from . import spans as S
 from .common import id_text, read_table
@@ -38,6 +38,18 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(read_table(spark, sf_dir, "documents"))
+    base = F.filter("marks", lambda x: x["k"] < len(pii.KINDS))
+    count = lambda k: F.size(F.filter("marks", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(S.digest_text(base, pii.NAMES, by_start=False), 256).alias("base_sha256"),
+        S.digest_text(F.col("marks"), pii.NAMES, by_start=False).alias("spans"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -87,6 +99,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op2_lm": op2_lm,
+    "op3_pii": op3_pii,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
