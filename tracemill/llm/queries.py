@@ -12,6 +12,7 @@ from .common import id_text, read_table
 from .decontaminate import match_benchmark
 from .packing import pack
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .topk import top_k
 from .toxicity import Settings, fit, remainder, score
 from .url_filter import Rule, filter_urls
@@ -30,6 +31,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(id_text()) % 10 == 0
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +104,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_url_filter": op4_url_filter,
+    "op1_suffix": op1_suffix,
     "op2_lm": op2_lm,
     "op3_pii": op3_pii,
     "op5_simhash": op5_simhash,
