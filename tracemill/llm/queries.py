@@ -14,7 +14,7 @@ from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .topk import top_k
-from .toxicity import Settings, fit, remainder, score
+from .toxicity import Settings, classify, fit, remainder
 from .url_filter import Rule, filter_urls
 
 URL_RULES = [
@@ -66,10 +66,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, read_table(spark, sf_dir, "labels"), remainder() != 2)
-    scored = score(docs, model)
-    return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", (F.col("score") >= Settings().threshold).cast("int").alias("predicted"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scored = classify(docs, fit(docs, read_table(spark, sf_dir, "labels"), remainder() != 2))
+    predicted = (F.col("score") >= Settings().threshold).cast("int")
+    return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", predicted.alias("predicted"), F.col("toxic").cast("int").alias("predicted_by_language"))
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -102,7 +102,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op4_url_filter": op4_url_filter,
     "op1_suffix": op1_suffix,
     "op2_lm": op2_lm,

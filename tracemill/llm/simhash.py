@@ -200,8 +200,15 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, seed: int
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class stays: that of the smallest id, and one of the rows that repeat it."""
+    """One row of each class stays: that of the smallest id, and one of the rows that repeat it.
+
+    Rows with a null id cannot name a class; they all stay. Only if some id has several rows are the texts dealt out
+    to drop the repeats.
+    """
     id_col = options.get("id_col", "doc_id")
     found = near_duplicates(docs, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    first = materialize(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id = c").select(F.col("doc_id").alias("__keep"), "n"), "simhash-first")
+    named = docs.where(F.col(id_col).isNotNull()).join(first.select("__keep"), F.col(id_col) == F.col("__keep"), "left_semi")
+    if not first.where("n > 1").isEmpty():
+        named = named.dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
