@@ -26,6 +26,10 @@ _CANONICAL_INT = r"\A(?:0|-?[1-9][0-9]{0,4298})\z"
 _FLOAT = r"(?i)\A[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:e[+-]?[0-9]+(?:_[0-9]+)*)?\z"
 
 
+#: A number without trailing zeros is its own normal form; it spares the rewrites.
+_PLAIN = r"\A-?[0-9]+(?:\.[0-9]*[1-9])?\z"
+
+
 def _literals(c: Column, pairs) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
 
@@ -77,7 +81,11 @@ def fix_tan(c: Column) -> Column:
 
 def strip_string(c: Column) -> Column:
     """The normal form of an answer. Applying it twice can change it again; callers keep count."""
-    first = F.replace(_regex(F.replace(py_strip(c), F.lit("\n"), F.lit("")), r"\.+\z", ""), F.lit("\\!"), F.lit(""))
+    return let(c, lambda s: F.when(s.rlike(_PLAIN), s).otherwise(_normal_form(s)))
+
+
+def _normal_form(c: Column) -> Column:
+    first = F.replace(F.rtrim(F.replace(py_strip(c), F.lit("\n"), F.lit("")), F.lit(".")), F.lit("\\!"), F.lit(""))
 
     def unwrap(s):
         wrapped = F.startswith(s, F.lit("\\text{")) & F.endswith(s, F.lit("}"))
@@ -94,24 +102,19 @@ def strip_string(c: Column) -> Column:
 
     def infinity(s):
         s = F.when(F.contains(s, F.lit("\\infty")), s).otherwise(F.replace(s, F.lit("inf"), F.lit("\\infty")))
-        s = _regex(_literals(s, _FONTS), r"\\mbox\{.*?\}", "")
-        return _literals(s, _QUOTES)
+        return _literals(_regex(_literals(s, _FONTS), r"\\mbox\{.*?\}", ""), _QUOTES)
 
     def imaginary(s):
         s = F.when(F.contains(s, F.lit("j")) & ~F.contains(s, F.lit("i")), F.replace(s, F.lit("j"), F.lit("i"))).otherwise(s)
-        s = _regex(s, r"(\d+)\.0+([^\d])", "$1$2")
-        return _regex(s, r"(\d+)\.0+$", "$1")
+        return _regex(_regex(s, r"(\d+)\.0+([^\d])", "$1$2"), r"(\d+)\.0+$", "$1")
 
     def finish(s):
         s = F.when(F.startswith(s, F.lit(".")), F.concat(F.lit("0"), s)).otherwise(s)
         s = F.replace(fix_tan(fix_sqrt(s)), F.lit(" "), F.lit(""))
-        s = let(let(s, fix_fracs), fix_a_slash_b)
-        return F.regexp_replace(s, r"[\\,.]+\z", "")
+        return F.rtrim(let(let(s, fix_fracs), fix_a_slash_b), F.lit("\\,."))
 
-    out = let(first, unwrap)
-    out = let(_literals(out, _SAME_FRACTION), units)
-    out = let(out, infinity)
-    out = let(out, imaginary)
+    out = let(_literals(let(first, unwrap), _SAME_FRACTION), units)
+    out = let(let(out, infinity), imaginary)
     return let(out, lambda s: F.when(s == "", s).otherwise(finish(s)))
 
 
@@ -162,8 +165,7 @@ def extract_answers(c: Column) -> Column:
 
     def clean(a: Column) -> Column:
         line = before_first(py_strip(a), "\n")
-        line = F.regexp_replace(F.regexp_replace(line, r"\A:+", ""), r"\.+\z", "")
-        return strip_string(F.regexp_replace(line, r"/+\z", ""))
+        return strip_string(F.rtrim(F.rtrim(F.ltrim(line, F.lit(":")), F.lit(".")), F.lit("/")))
 
     return F.transform(let(F.coalesce(c, F.lit("")), find), lambda a: clean(a))
 

@@ -55,14 +55,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+# The characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c: Column) -> Column:
     """Strip all Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def nonblank(c: Column) -> Column:
     """Some character that is not white space; null counts as blank."""
-    return F.coalesce(c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+    return F.coalesce(py_strip(c) != "", F.lit(False))
 
 
 def word_count(c: Column) -> Column:
