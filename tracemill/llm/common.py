@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -47,6 +48,24 @@ def extend(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can: a reused worker does not keep its peak."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def set_aside(df: DataFrame, names: list[str]):
+    """``df`` with columns of these names renamed, and the function that selects its columns under their own names again."""
+    aside = {c: f"__own_{c}" for c in df.columns if c in names}
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(aside[c]).alias(c) if c in aside else F.col(c) for c in df.columns])
+
+    return df.withColumnsRenamed(aside), restore
+
+
 def id_text(col: str = "doc_id"):
     """The id as text; null counts as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

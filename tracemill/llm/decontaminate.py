@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, extend, lower_ascii, mix, powers, raw_text, small_batches, word_hashes, word_spans
+from .common import ALNUM, chunks, extend, lower_ascii, mix, powers, raw_text, set_aside, small_batches, word_hashes, word_spans
 
 #: Text of benchmark items that is broadcast at a time.
 BLOCK_BYTES = 32 << 20
@@ -147,12 +147,13 @@ def _runs(idx: np.ndarray, s: np.ndarray, e: np.ndarray, base: int) -> list:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", n: int = 10, text: str = "text") -> DataFrame:
     """``documents``: drop contaminated rows. ``spans``: cut the hit words out of the text and keep the row."""
-    found = match_benchmark(docs, benchmark, n, text)
+    rows, restore = set_aside(docs, ["n_words", "hit_words", "hit_spans", "items"])
+    found = match_benchmark(rows, benchmark, n, text)
     if action == "documents":
-        return found.where(F.size("hit_words") == 0).select(*docs.columns)
+        return restore(found.where(F.size("hit_words") == 0))
     if action != "spans":
         raise ValueError(f"unknown action {action!r}")
-    schema = docs.schema
+    schema = rows.schema
 
     def cut(batches):
         for batch in batches:
@@ -168,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
             cols = {c: batch.column(c) for c in schema.names} | {text: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return found.mapInArrow(cut, schema)
+    return restore(found.mapInArrow(cut, schema))
 
 
 def items_digest(items: list[str]) -> str:
