@@ -145,8 +145,8 @@ def _merge_level(bins: DataFrame, fan_in: int, capacity: int) -> DataFrame:
         fill = table.column("fill").to_numpy()
         names = table.column("bin").to_numpy()
         b, off, n = best_fit(fill, capacity)
-        root = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(root, b, names)
+        root = np.empty(n, np.int64)
+        root[b[off == 0]] = names[off == 0]  # the bin that lies first gives its name and stays where it is
         total = np.bincount(b, fill, n).astype(np.int64)
         return pa.table({"bin": names, "root": root[b], "shift": off, "fill": total[b], "part": table.column("part").to_numpy()})
 
