@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, materialize, mix, raw_text, small_batches
+from .common import extend, materialize, mix, raw_text, release_memory, small_batches
 
 WINDOW, GRAM = 100, 20
 #: Bytes of text whose runs a map task collects before it hands them on, and at most in one scan.
-FLUSH_BYTES, SEGMENT = 8 << 20, 1 << 19
+FLUSH_BYTES, SEGMENT = 6 << 20, 1 << 19
 #: Stretches of one gram that are sorted in one block.
 BLOCK_RUNS = 2000
+#: Suffixes that a task sorts at a time (or those of one block, if more).
+BLOCK_SUFFIXES = 1 << 17
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _tables: dict = {}
 
@@ -320,6 +322,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
             out = [("runs", k, pack(own, hash_, doc[first[m]], g=g[first[m]], s=s[first[m]], start=start[first[m]].astype(np.uint32), n=n[first[m]].astype(np.uint8))) for k, m in deal(part, parts)]
             back = _bucket(own[doc[copies]], hash_[doc[copies]], parts)
             out += [("gone", k, pack(own, hash_, doc[copies[m]], start=start[copies[m]].astype(np.uint32), n=n[copies[m]].astype(np.uint32))) for k, m in deal(back, parts)]
+            release_memory()
             return _rows(out)
 
         for batch in batches:
@@ -404,12 +407,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
         if not bodies:
             return
         heads, texts = [], []
-        for b in bodies:
+        while bodies:
+            b = bodies.pop()
             n = int(np.frombuffer(b, np.int64, 1)[0])
             heads.append(b[8 : 8 + n])
-            texts.append(np.frombuffer(b, np.uint8, len(b) - 8 - n, 8 + n))
-        x, data = unpack(heads, ["g", "start", "n"]), np.concatenate(texts)
-        del bodies, texts
+            texts.append(b[8 + n :])
+        x, data = unpack(heads, ["g", "start", "n"]), np.frombuffer(b"".join(texts), np.uint8)
+        del heads, texts
         n = x["n"].astype(np.int64)
         size = n + window - 1
         lo = np.cumsum(size) - size
@@ -418,16 +422,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
         cum, i, out = np.cumsum(n[by_gram]), 0, []
         edge = np.flatnonzero(np.r_[_first_of_group(by_gram, x["g"]), True])
         while i < len(by_gram):
-            reach = np.searchsorted(cum, (cum[i - 1] if i else 0) + (1 << 19))
+            reach = np.searchsorted(cum, (cum[i - 1] if i else 0) + BLOCK_SUFFIXES)
             j = int(edge[max(np.searchsorted(edge, reach, "right") - 1, np.searchsorted(edge, i, "right"))])
-            own = np.repeat(by_gram[i:j], n[by_gram[i:j]])
-            w = np.arange(len(own)) - np.repeat(np.cumsum(n[by_gram[i:j]]) - n[by_gram[i:j]], n[by_gram[i:j]])
+            # the block's own bytes, so that its hashes take no more memory than it needs
+            span = by_gram[i:j]
+            to = np.cumsum(size[span]) - size[span]
+            local = data[np.repeat(lo[span] - to, size[span]) + np.arange(int(size[span].sum()))]
+            own = np.repeat(span, n[span])
+            w = np.arange(len(own)) - np.repeat(np.cumsum(n[span]) - n[span], n[span])
             start = x["start"][own].astype(np.int64) + w
             rank = np.empty(len(own), np.int64)
             rank[np.lexsort((start, x["h"][own], x["id"][own]))] = np.arange(len(own))
-            gone = repeated(data, lo[own] + w, _dense(x["g"][own]), rank, window)
-            out.append((own[gone], start[gone]))
+            gone = repeated(local, np.repeat(to, n[span]) + w, _dense(x["g"][own]), rank, window)
+            out.append((own[gone].astype(np.int32), start[gone].astype(np.uint32)))
             i = j
+        release_memory()
         own, start = (np.concatenate(c) for c in zip(*out))
         yield _rows([(k, pack(x["id"], x["h"], own[m], start=start[m].astype(np.uint32), n=np.ones(len(m), np.uint32))) for k, m in deal(_bucket(x["id"][own], x["h"][own], buckets), buckets)], ("key", "body"))
 
