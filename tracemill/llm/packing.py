@@ -13,6 +13,8 @@ each; an empty table gives no rows; input columns other than the id and the text
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 
 import numpy as np
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 #: Distinct words whose ids a worker keeps; beyond it the memory starts anew (the results are the same).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 
+_MARKS = b"!\"#$%&'()*+,-./:;=?@[]^_{}~"
 _BYTE_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _tokenizers: dict = {}
 
@@ -34,31 +37,42 @@ class WordIds(dict):
     """The ids, as little-endian 32-bit bytes, of each white-space-delimited stretch of text.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its stretches in
-    order. A single full stop or comma after an ASCII letter is always a token of its own.
+    order. Nor does it join an ASCII letter with the marks behind it: a stretch's last run of marks is kept apart.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; threads would only spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
-            out = self[word[:-1]] + self[word[-1:]]
+        stem = stem_of(word)
+        if len(stem) < len(word):
+            out = self[stem] + self[word[len(stem) :]]
         else:
-            out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            out = _bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         self[word] = out
         return out
 
     def learn(self, words: set) -> None:
         """Tokenise the words not known yet in one call."""
-        stems = {w[:-1] if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122 else w for w in words}
-        new = [w for w in stems if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS:
             self.clear()
-            new = list(stems)
+        stems = {stem_of(w) for w in words if w not in self}
+        new = [w for w in stems if w not in self]
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            self[w] = _bytes(e.ids)
+
+
+def stem_of(word: bytes) -> bytes:
+    """The word without its last run of marks where an ASCII letter stands before it; bars and angles may be special tokens'."""
+    stem = word.rstrip(_MARKS)
+    return stem if stem and 97 <= stem[-1] <= 122 else word
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def word_ids(path: str) -> WordIds:
