@@ -93,6 +93,17 @@ def _marks(spans: list[Column]) -> Column:
     return F.concat(*[F.transform(c, one(k)) for k, c in enumerate(spans)])
 
 
+def _words(text: str) -> Column:
+    """The distinct terms of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+
+
+def _share(total: int, both: str, entity: str, term: str) -> Column:
+    """The share of the entity's information that the term discloses, PMI / IC."""
+    n = F.lit(float(total))
+    return F.log2(n * F.col(both) / (F.col(entity) * F.col(term))) / F.log2(n / F.col(entity))
+
+
 def find_personal(docs: DataFrame, threshold: float = 0.7, support: int = 4, reach: int = 60, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, h, marks) of every row; marks holds (start, index in NAMES, end), terms included."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -101,20 +112,28 @@ def find_personal(docs: DataFrame, threshold: float = 0.7, support: int = 4, rea
     cols = [F.col(k) for k in KINDS]
     some = (F.size("email") > 0) | (F.size("ip") > 0) | (F.size("card") > 0) | (F.size("phone") > 0)
     near = F.when(some, _entities(F.col("t"), cols, reach)).otherwise(F.array().cast("array<struct<entity:string,terms:array<struct<term:string,s:int,e:int>>>>"))
-    base = materialize(spans.select("id", "h", _marks(cols).alias("marks"), near.alias("near")), "pii-base")
+    vocabulary = F.when(some, _words("t")).otherwise(F.array().cast("array<string>"))
+    base = materialize(spans.select("id", "h", _marks(cols).alias("marks"), near.alias("near"), vocabulary.alias("vocabulary")), "pii-base")
 
     beside = base.where(F.size("near") > 0).select("id", "h", F.explode("near").alias("x")).select("id", "h", "x.entity", F.explode("x.terms").alias("y")).select("id", "h", "entity", "y.*")
+    total = base.select("h").distinct().count()
+    of_entity = base.where(F.size("near") > 0).select("h", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = beside.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = materialize(pairs, "pii-pairs")
+    pairs = materialize(pairs.join(of_entity, "entity").where(F.col("n_e") < total), "pii-pairs")
+    if pairs.isEmpty():
+        return base.select("id", "h", "marks")
+    # a term is in at least as many texts as those with an entity that hold it: common words fall to that bound before all words are counted
+    named = pairs.select(F.col("term").alias("wanted")).distinct()
+    within = base.where(F.size("near") > 0).select("h", F.explode("vocabulary").alias("word")).join(named, F.col("word") == F.col("wanted"), "left_semi")
+    at_least = within.distinct().groupBy(F.col("word").alias("t0")).agg(F.count("*").alias("n_b"))
+    pairs = pairs.join(at_least, F.col("term") == F.col("t0")).where(_share(total, "n_et", "n_e", "n_b") >= threshold).select("entity", "term", "n_et", "n_e")
+    pairs = materialize(pairs, "pii-likely")
     if pairs.isEmpty():
         return base.select("id", "h", "marks")
-    of_entity = base.where(F.size("near") > 0).select("h", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     wanted = pairs.select(F.col("term").alias("wanted")).distinct()
-    words = rows.select(F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 3)
+    words = rows.select(F.xxhash64("t").alias("h"), F.explode(_words("t")).alias("word"))
     of_term = words.join(wanted, F.col("word") == F.col("wanted"), "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n_t"))
-    total = base.select("h").distinct().count()
-    disclosed = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-    telling = pairs.join(of_entity, "entity").join(of_term, F.col("term") == F.col("word")).where((F.col("n_e") < total) & (disclosed >= threshold)).select(F.col("entity").alias("e2"), F.col("term").alias("t2"))
+    telling = pairs.join(of_term, F.col("term") == F.col("word")).where(_share(total, "n_et", "n_e", "n_t") >= threshold).select(F.col("entity").alias("e2"), F.col("term").alias("t2"))
     telling = materialize(telling, "pii-telling")
     if telling.isEmpty():
         return base.select("id", "h", "marks")
