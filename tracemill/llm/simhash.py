@@ -208,7 +208,8 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     found = near_duplicates(docs, **options)
     first = materialize(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id = c").select(F.col("doc_id").alias("__keep"), "n"), "simhash-first")
-    named = docs.where(F.col(id_col).isNotNull()).join(first.select("__keep"), F.col(id_col) == F.col("__keep"), "left_semi")
+    # the list grows with the documents: merged by id at every size, never broadcast
+    named = docs.where(F.col(id_col).isNotNull()).join(first.select("__keep").hint("merge"), F.col(id_col) == F.col("__keep"), "left_semi")
     if not first.where("n > 1").isEmpty():
         named = named.dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
