@@ -41,8 +41,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def chunk_fingerprints(data: np.ndarray, offs: np.ndarray, width: int, seed: int) -> list[int]:
-    """The fingerprint of each row's text."""
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int, seed: int):
+    """For each row, its words joined by single spaces (bytes) and the hash of every shingle, repeats included."""
     data = lower_ascii(data)
     s, e, rows = word_spans(data, offs, NONSPACE)
     # words joined by single spaces, all rows in one buffer; a shingle is a slice of it
@@ -54,17 +54,20 @@ def chunk_fingerprints(data: np.ndarray, offs: np.ndarray, width: int, seed: int
         joined[np.repeat(at, lens) + step] = data[np.repeat(s, lens) + step]
     buf, begin, end = memoryview(joined.tobytes()), at.tolist(), (at + lens).tolist()
     first = np.searchsorted(rows, np.arange(len(offs)))
-    digest, out = xxhash.xxh64_intdigest, []
+    digest = xxhash.xxh64_intdigest
     for r in range(len(offs) - 1):
         lo, hi = int(first[r]), int(first[r + 1])
         n = hi - lo
         if n == 0:
-            out.append(0)
+            yield b"", []
             continue
         k = min(width, n)
-        h = [digest(buf[a:b], seed) for a, b in zip(begin[lo : hi - k + 1], end[lo + k - 1 : hi])]
-        out.append(fingerprint(np.array(h, np.uint64)))
-    return out
+        yield buf[begin[lo] : end[hi - 1]], [digest(buf[a:b], seed) for a, b in zip(begin[lo : hi - k + 1], end[lo + k - 1 : hi])]
+
+
+def chunk_fingerprints(data: np.ndarray, offs: np.ndarray, width: int, seed: int) -> list[int]:
+    """The fingerprint of each row's text."""
+    return [fingerprint(np.array(h, np.uint64)) for _, h in shingle_hashes(data, offs, width, seed)]
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,13 +203,15 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, seed: int
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class stays: that of the smallest id, and one of the rows that repeat it.
-
+    """One row of each class of fingerprints stays: that of the smallest id, and one of the rows that repeat it.
     Rows with a null id cannot name a class; they all stay. Only if some id has several rows are the texts dealt out
     to drop the repeats.
     """
-    id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options)
+    return first_of_classes(docs, near_duplicates(docs, **options), options.get("id_col", "doc_id"))
+
+
+def first_of_classes(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents that ``found`` (doc_id, component_id) names as the first of their class, and those without an id."""
     first = materialize(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id = c").select(F.col("doc_id").alias("__keep"), "n"), "simhash-first")
     # the list grows with the documents: merged by id at every size, never broadcast
     named = docs.where(F.col(id_col).isNotNull()).join(first.select("__keep").hint("merge"), F.col(id_col) == F.col("__keep"), "left_semi")
