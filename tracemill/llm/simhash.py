@@ -204,6 +204,9 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, seed: int
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of each class of fingerprints stays: that of the smallest id, and one of the rows that repeat it.
+
+    Texts are not compared: unlike texts of near fingerprints, or those that a chain of links unites, go too. Where clean
+    documents must stay, as in the pipeline, ``near_copies.keep_first_copy`` drops by verified similarity only.
     Rows with a null id cannot name a class; they all stay. Only if some id has several rows are the texts dealt out
     to drop the repeats.
     """
