@@ -153,6 +153,22 @@ def private_model(t):
     return sorted(out)
 
 
+def test_redaction_leaves_no_part_of_a_secret(spark):
+    body = "\n".join(["MIIE" + "aB3+/x" * 10] * 20 + ["Qk9="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"a {begin}\n{body}\n{end} z": "a [PRIVATE_KEY] z",
+        f"a {begin}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0F\r\n\r\n{body}\r\n{end} z": "a [PRIVATE_KEY] z",
+        "a " + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + " z": "a [PRIVATE_KEY] z",
+        f"a {begin}\n{body}\n and more": "a [PRIVATE_KEY]\n and more",
+        f"{begin} is a line - no key": "[PRIVATE_KEY] is a line - no key",
+        f"{begin}\n{body}\n{end}\nmid\n{begin}\n{body}\n{end}": "[PRIVATE_KEY]\nmid\n[PRIVATE_KEY]",
+        "k AKIA" + "Q" * 16 + "0123456789abcdef" * 2 + " z": "k [ACCESS] z",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def test_personal_data(spark, tmp_path):
     quick = [t for t in PRIVATE if t is None or not t.startswith(("aaaa", "1111111111111111111", "x@x@"))] + ["a" * 900, "1" * 900, "x@" * 300]
     docs = spark.createDataFrame([(i if i % 4 else None, t, "c") for i, t in enumerate(quick)] + [(1, quick[1], "c")], "doc_id long, text string, h string")

@@ -42,14 +42,15 @@ def digest_text(marks: Column, names: list[str], by_start: bool) -> Column:
 
 
 def replace_spans(text: Column, marks: Column, names: list[str]) -> Column:
-    """The text with each marked stretch replaced by its name in brackets; of overlapping marks the first stands."""
+    """The text with each marked stretch replaced by its name in brackets; overlapping marks are one stretch, under the first one's name."""
     name = F.array(*[F.lit(f"[{n.upper()}]") for n in names])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
         before = F.substr(text, acc["at"] + 1, x["s"] - acc["at"])
         put = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(before, F.element_at(name, x["k"] + 1))).alias("out"))
-        return F.when(x["s"] >= acc["at"], put).otherwise(acc)
+        more = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
+        return F.when(x["s"] >= acc["at"], put).otherwise(more)
 
     whole = F.aggregate(F.array_sort(marks), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(marks) > 0, whole).otherwise(text)
