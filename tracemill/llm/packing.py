@@ -6,6 +6,8 @@ are final. The underfull ones are items of the next level: neighbouring tasks' b
 ``fan_in`` and packed by best fit again, and so on up the tree. Best fit leaves a group at most one bin that
 is half full or less, and only such a bin can still be an item among fuller ones, so each later level sees at most one bin a group:
 the tree stays small however many documents there are, and no task sees more than ``fan_in`` groups.
+Bins over half full are final after the first level and are no hosts for another group's bins. So a bin left at
+half or less may miss a host elsewhere: at most one sequence more for each group of the first level.
 
 Defined cases: a null or empty text is one piece holding just the end token; repeated rows are packed once
 each; an empty table gives no rows; input columns other than the id and the text are not used.
