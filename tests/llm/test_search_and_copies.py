@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracemill.llm import packing, simhash, topk, toxicity
+from tracemill.llm import near_copies, packing, simhash, topk, toxicity
 from tracemill.llm.components import components
 from tracemill.llm.queries import QUERIES, tokenizer_file
 
@@ -60,13 +60,39 @@ def test_near_duplicates(spark):
     for (i, _, _), r in zip(rows, root):
         first[r] = min(first[r], i)
     want = sorted((i, v - (1 << 64) if v >> 63 else v, first[r]) for (i, _, _), v, r in zip(rows, values, root))
-    assert sorted(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
+    found = simhash.near_duplicates(docs)
+    assert sorted(tuple(r) for r in found.select("doc_id", "fp", "component_id").collect()) == want
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(first.values()))
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     nulls = spark.createDataFrame([(None, "a b"), (None, "c d"), (5, "a b")], "doc_id long, text string")
     assert sorted((r["component_id"] or 0) for r in simhash.near_duplicates(nulls).collect()) == [0, 5, 5]
-    assert simhash.keep_first(nulls).count() == 3
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in simhash.keep_first(nulls).collect()) == [(0, "c d"), (5, "a b")]
+
+
+TWICE = [(1, "one two three four five six"), (5, "one two three four five six"), (5, "b b b c c d"), (7, "c1 c2 c3 c4 c5"), (7, "d9 d8 d7 d6 d5 d4"), (7, "d9 d8 d7 d6 d5 d4"), (None, "e f g h"), (None, None)]
+
+
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in TWICE], "doc_id long, text string, first string").repartition(3)
+    want = sorted({(i or 0, t or "") for i, t in TWICE} - {(5, TWICE[0][1])})
+    for kept in (simhash.keep_first(docs), near_copies.keep_first_copy(docs)):
+        assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == want
+
+
+def test_a_dense_bucket_is_dealt_out(spark):
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.uint64(5) << np.uint64(40) | rng.integers(0, 1 << 24, 200, dtype=np.uint64)).view(np.int64)
+    table = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    want = classes([int(f) for f in fps], lambda a, b: (a ^ b).bit_count() <= 4)
+    for dense in (16, 1 << 20):
+        got = defaultdict(set)
+        for r in components(simhash.near_links(table, dense=dense)).collect():
+            got[r["root"]].add(r["node"])
+        groups = defaultdict(set)
+        for f, w in zip(fps.tolist(), want):
+            groups[w].add(f)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
 @pytest.mark.parametrize("budget", [0, 4])
@@ -151,7 +177,7 @@ def test_packing(spark, capacity):
     ids = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     want = [(i, k, k * capacity, len(x[k * capacity :][:capacity]), zlib.crc32(np.array(x[k * capacity :][:capacity], "<u4").tobytes())) for i, x in [*enumerate(ids), (5, ids[5])] for k in range(-(-len(x) // capacity))]
     rows = packing.pack(docs, tokenizer_file(), capacity=capacity, slack=0, fan_in=3).collect()
-    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
     bins = defaultdict(list)
     for r in rows:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -164,9 +190,24 @@ def test_packing(spark, capacity):
     total = sum(w[3] for w in want)
     assert len(bins) <= 1.3 * -(-total // capacity) + 1
     assert packing.pack(docs.limit(0), tokenizer_file()).collect() == []
-    single = docs.where("doc_id <> 5")
-    made = {r["sequence_id"]: list(r["ids"]) for r in packing.sequences(single, packing.pack(single, tokenizer_file(), capacity=capacity), tokenizer_file(), capacity).collect()}
-    assert sorted(x for v in made.values() for x in v) == sorted(x for i, v in enumerate(ids) if i != 5 for x in v)
+    # the sequences hold every piece's own tokens at its place, also where rows share an id or have none
+    more = docs.unionByName(spark.createDataFrame([(5, "other words under the same id", 1), (None, "no id", 1), (None, "none at all", 1)], docs.schema))
+    packed = packing.pack(more, tokenizer_file(), capacity=capacity)
+    made = {r["sequence_id"]: list(r["ids"]) for r in packing.sequences(more, packed, tokenizer_file(), capacity).collect()}
+    places = packed.collect()
+    assert sum(map(len, made.values())) == sum(r["length"] for r in places)
+    for r in places:
+        assert zlib.crc32(np.array(made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+
+
+def test_an_underfull_bin_finds_its_host_in_another_group(spark):
+    """One group is left with a bin of 6 of 16 tokens, others far away with bins of 9: they meet up the tree."""
+    word = lambda n: " ".join(["the"] * (n - 1))
+    parts = [[word(9)] * 3, [word(9)] * 2, [word(9)], [word(9)], [word(6)], [word(9)], [word(9)], [word(9)], [word(7)]]
+    docs = spark.sparkContext.parallelize([(10 * p + i, t) for p, ts in enumerate(parts) for i, t in enumerate(ts)], 1).toDF("doc_id long, text string")
+    docs = docs.repartitionByRange(len(parts), (docs["doc_id"] / 10).cast("int"))
+    rows = packing.pack(docs, tokenizer_file(), capacity=16, slack=0, fan_in=2).collect()
+    assert sum(r["length"] for r in rows) == 9 * 10 + 6 + 7 and len({r["sequence_id"] for r in rows}) == 10
 
 
 def test_toxicity(spark):

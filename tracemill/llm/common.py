@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +24,81 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: the cluster's ``spark.checkpoint.dir``, or one of our own where unset (tests)."""
+    """The folder all executors see: the cluster's ``spark.checkpoint.dir``, or in local mode one of our own where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracemill-")
+        _scratch.append(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: What this process has written to the shared folder and not deleted yet.
+_scratch: list[str] = []
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted by ``clear_scratch`` or when the process ends."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def scratch_mark() -> int:
+    """For ``clear_scratch``: what is written from now on."""
+    return len(_scratch)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete what was written since a mark, but for the tables in ``keep``. Frames that read the rest are no use afterwards."""
+    kept = {getattr(k, "scratch", None) for k in keep}
+    gone = [p for p in _scratch[since:] if p not in kept]
+    _scratch[since:] = [p for p in _scratch[since:] if p in kept]
+    _delete(spark, gone)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "scratch", None)
+        if path in _scratch:
+            _scratch.remove(path)
+            _delete(df.sparkSession, [path])
+
+
+def _delete(spark: SparkSession | None, paths: list[str]) -> None:
+    for p in paths:
+        parts = urlparse(p)
+        if parts.scheme in ("", "file"):
+            shutil.rmtree(parts.path, ignore_errors=True)
+        elif spark is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _scratch else None
+    try:
+        clear_scratch(spark)
+    except Exception:  # the session may be gone already; what is left is the shared folder's owner's
+        pass
 
 
 def small_batches(spark: SparkSession, records: int = 500) -> None:
-    """Text rows can be long: keep the Arrow batches that reach Python workers small."""
+    """Text rows can be long: keep the Arrow batches that reach Python workers small, for the rest of the session (Spark reads the setting when a plan runs)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
 

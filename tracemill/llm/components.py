@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_scratch, materialize
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
@@ -28,7 +30,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None =
         root = hook[root]
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; ``links`` has long columns a and b, root is one of the class's nodes.
 
     Every round maps each node to the neighbour (or itself) of least pseudo-random priority and contracts
@@ -37,7 +39,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     mapping = None
-    for turn in range(max_rounds):
+    for turn in count():
         if links.isEmpty():
             break
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -46,12 +48,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         best = materialize(best, "roots")
         left = links.join(best, F.col("a") == F.col("node")).select(F.col("root").alias("x"), "b")
         left = left.join(best, F.col("b") == F.col("node")).select("x", F.col("root").alias("y"))
-        links = materialize(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        before, links = links, materialize(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        drop_scratch(before)
         if mapping is None:
             mapping = best
         else:
             nxt = best.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-            mapping = materialize(mapping.join(nxt, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root")), "mapping")
-    else:
-        raise RuntimeError("components did not settle")
+            old, mapping = mapping, materialize(mapping.join(nxt, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root")), "mapping")
+            drop_scratch(old, best)
     return mapping if mapping is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -79,7 +79,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_file()).drop("text_hash")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

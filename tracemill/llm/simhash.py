@@ -8,8 +8,9 @@ pairs of its nodes are traversed together, summing the bits in which their prefi
 sum exceeds the budget, or when both nodes lie wholly in one class already. A task hands on a spanning
 star of each class it found, never its pairs, and the classes are united by distributed contraction.
 
-Defined cases: a null text or one without words has fingerprint zero and links like any other; repeated rows
-and copies share a fingerprint; rows with a null id are fingerprinted, and never name a component unless
+Defined cases: a null text or one without words has fingerprint zero and links like any other; a very long text is read
+whole, a bounded number of shingles at a time; repeated rows and copies share a fingerprint, and rows that share an id but not the
+text are rows of their own; rows with a null id are fingerprinted, and never name a component unless
 all its ids are null; an empty table gives no rows. Columns of the input other than id and text are unused.
 """
 
@@ -21,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, chunks, lower_ascii, materialize, raw_text, small_batches, word_spans
+from .common import NONSPACE, chunks, drop_scratch, lower_ascii, materialize, raw_text, small_batches, word_spans
 from .components import components, local_roots
 
 #: Node pairs that a step of the traversal expands at a time; bounds a task's memory.
 FRONTIER = 1 << 17
+#: Fingerprints of one bucket that a task joins at a time.
+DENSE = 1 << 20
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -71,9 +74,9 @@ def chunk_fingerprints(data: np.ndarray, offs: np.ndarray, width: int, seed: int
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; a narrow map."""
+    """(doc_id, h, fp) of every row, h a hash of the text; a narrow map."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text).alias("h"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -82,9 +85,9 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
             out: list[int] = []
             for a, b in chunks(offs):
                 out += chunk_fingerprints(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], width, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(out, pa.int64())], names=["doc_id", "h", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, fp long")
 
 
 def _part_masks(blocks: int, same: int) -> list[int]:
@@ -166,12 +169,23 @@ def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.uint64) ->
         lo = np.where(open_ & ~bit, mid + 1, lo)
 
 
-def near_links(distinct: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints ``fp`` at most ``budget`` bits apart."""
+def near_links(distinct: DataFrame, budget: int = 4, blocks: int = 6, dense: int = DENSE) -> DataFrame:
+    """Spanning links (a, b) between distinct fingerprints ``fp`` at most ``budget`` bits apart.
+
+    A bucket of more than ``dense`` fingerprints is dealt to sub-blocks, and each pair of sub-blocks is a bucket of its own.
+    """
     masks = _part_masks(blocks, blocks - budget)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)])).alias("k"))
-    dealt = dealt.select("fp", F.xxhash64("k.m", "k.v").alias("key")).repartition(F.col("key"))
+    dealt = dealt.select("fp", F.xxhash64("k.m", "k.v").alias("key"))
+    crowded = materialize(dealt.groupBy(F.col("key").alias("ck")).agg(F.ceil(F.count("*") / F.lit(float(dense))).cast("int").alias("parts")).where("parts > 1"), "simhash-dense")
+    if not crowded.isEmpty():
+        own = F.pmod(F.xxhash64("fp", F.lit(9)), F.col("parts")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+        joined = dealt.join(crowded, F.col("key") == F.col("ck"), "left")
+        split = joined.where("parts IS NOT NULL").withColumn("own", own).select("fp", "key", F.explode(pairs).alias("p")).select("fp", F.xxhash64("key", "p.i", "p.j").alias("key"))
+        dealt = joined.where("parts IS NULL").select("fp", "key").unionByName(split)
+    dealt = dealt.repartition(F.col("key"))
 
     def run(batches):
         keys, fps = [], []
@@ -191,33 +205,48 @@ def near_links(distinct: DataFrame, budget: int = 4, blocks: int = 6) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest id of the class) of every row."""
+    """doc_id, h, fp, component_id (the smallest id of the class) and first (the class's first row: smallest id, then text hash) of every row."""
     prints = materialize(fingerprints(docs, width, seed, id_col, text), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(first_row().alias("first")), "simhash-distinct")
     classes = components(near_links(distinct.select("fp"), budget))
-    known = distinct.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    known = distinct.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     known = materialize(known, "simhash-known")
-    lowest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(known.join(lowest, "root").select(F.col("fp").alias("f2"), "component_id"), "simhash-named")
-    return prints.join(named, F.col("fp") == F.col("f2"), "left").select("doc_id", "fp", "component_id")
+    lowest = known.groupBy("root").agg(F.min("first").alias("least"))
+    named = materialize(known.join(lowest, "root").select(F.col("fp").alias("f2"), "least"), "simhash-named")
+    drop_scratch(distinct, classes, known)
+    return prints.join(named, F.col("fp") == F.col("f2"), "left").select("doc_id", "h", "fp", F.col("least.id").alias("component_id"), F.col("least").alias("first"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class of fingerprints stays: that of the smallest id, and one of the rows that repeat it.
+    """One row of each class of fingerprints stays: that of the smallest id (of rows that share it, the least text hash).
 
     Texts are not compared: unlike texts of near fingerprints, or those that a chain of links unites, go too. Where clean
     documents must stay, as in the pipeline, ``near_copies.keep_first_copy`` drops by verified similarity only.
-    Rows with a null id cannot name a class; they all stay. Only if some id has several rows are the texts dealt out
-    to drop the repeats.
+    A null id comes after all others: such a row stays only where its class has no id.
     """
-    return first_of_classes(docs, near_duplicates(docs, **options), options.get("id_col", "doc_id"))
+    return first_of_classes(docs, near_duplicates(docs, **options), options.get("id_col", "doc_id"), options.get("text", "text"))
+
+
+def text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def first_of_classes(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that ``found`` (doc_id, component_id) names as the first of their class, and those without an id."""
-    first = materialize(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id = c").select(F.col("doc_id").alias("__keep"), "n"), "simhash-first")
-    # the list grows with the documents: merged by id at every size, never broadcast
-    named = docs.where(F.col(id_col).isNotNull()).join(first.select("__keep").hint("merge"), F.col(id_col) == F.col("__keep"), "left_semi")
-    if not first.where("n > 1").isEmpty():
-        named = named.dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+def first_row():
+    """The least of a group's rows (doc_id, h): null ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
+
+
+def first_of_classes(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that ``found`` (doc_id, h, first) names as the first of their class, known by id and text; of rows equal in both, one.
+
+    Only if a named document has several rows are the texts dealt out to drop the repeats.
+    """
+    names = ["__keep_id", "__keep_h", "__keep_n"]
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    first = materialize(named.groupBy(F.col("doc_id").alias(names[0]), F.col("h").alias(names[1])).agg(F.count("*").alias(names[2])), "simhash-first")
+    # the list grows with the documents: merged by key at every size, never broadcast
+    keyed = docs.withColumn("__h", text_hash(text))
+    kept = keyed.join(first.select(*names[:2]).hint("merge"), F.col(id_col).eqNullSafe(F.col(names[0])) & (F.col("__h") == F.col(names[1])), "left_semi")
+    if not first.where(F.col(names[2]) > 1).isEmpty():
+        kept = kept.dropDuplicates([id_col, "__h"])
+    return kept.select(*docs.columns)
