@@ -1,38 +1,47 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted arrays, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
 
-1. Word counts: each task counts the hashes of its words; shards by hash range are summed and written as
+1. Words: each task counts the hashes of its words; shards by hash range are summed and written as
    sorted hash arrays. A word's id is its place in their concatenation.
-2. Pair counts: each task counts (context, word) id pairs. A shard holds all pairs of a context; a context with more
-   tokens than a shard's share is split over as many shards as it fills, by the word. Shards are
-   summed and written as sorted key arrays with counts, and the counts of one-, two- and three-timers of each context.
-3. Continuation counts: the number of contexts of each word, shard by shard, summed by id range.
-
-Everything grows with the corpus but nothing is gathered: the driver gets a few numbers a shard. The scoring map
-opens the arrays by memory map and looks up the distinct words and pairs of a chunk in sorted order.
-
-p(w|v) = (c(v,w) - D(c))/c(v) + g(v) q(w);  q(w) = (n(w) - D'(n))/T + g' / (V+1), with n the number of
-contexts of w, T all pairs and V the vocabulary; an unseen word has q = g'/(V+1), an unseen context p = q.
-
-Words are told apart by a 64-bit hash. Defined cases: null and empty texts consist of the end token alone;
-without any training row every token has probability 1/(V+1) = 1; repeated rows count each time; a null id is
-the empty text for the fold. Columns other than id and text are not used.
+2. Grams of ``order`` words: each task counts its tuples of ids. A gram goes to the shard of its middle words, so a shard holds all
+   grams of a context and all that extend the same shorter gram to the left. Middle words with more tokens than a
+   quarter of a shard's share are split over several shards by the gram's first word. A shard is summed and written: the sorted
+   hashes of its contexts, and for each context its words (sorted ids) with their counts.
+3. Shorter orders: a gram's count is the number of different words before it. Each shard hands on its shorter grams with
+   the words it saw before them, to be summed by the next order's shards, down to single words.
+
+Shards hold ``per_shard`` tokens each, so tasks are alike at every size. Everything grows with the corpus but nothing is gathered: the
+driver gets a few numbers a shard, and one for each context of two-word grams that is split. The scoring map opens the arrays by
+memory map and looks up the distinct grams of a chunk in sorted order.
+
+p(w|h) = (c(hw) - D(c))/c(h) + g(h) p(w|h'), with h' the context without its first word; the last is
+q(w) = (n(w) - D'(n))/T + g'/(V+1), n the number of different words before w, T their sum and V the vocabulary. A context never seen
+gives p(w|h'), an unseen word q = g'/(V+1). Texts begin with ``order - 1`` start symbols.
+
+Words and contexts are told apart by 64-bit hashes. Defined cases: null and empty texts consist of the end token alone; very long texts
+are read whole, each as one chunk; without any training row every token has probability 1/(V+1) = 1; repeated rows count each time;
+a null id is the empty text for the fold; an empty table gives no rows. Columns other than id and text are not used.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import NONSPACE, chunks, extend, lower_ascii, materialize, mix, raw_text, shared_folder, small_batches, word_hashes, word_spans
+from .common import NONSPACE, chunks, drop_scratch, extend, lower_ascii, materialize, mix, raw_text, scratch_path, small_batches, word_hashes, word_spans
 
 #: Tokens that a counting task gathers before it hands on what it has counted.
 FLUSH_TOKENS = 3_000_000
+#: Tokens whose grams make a shard.
+PER_SHARD = 3_000_000
+#: Bytes of text that are scored at a time.
+SCORE_BYTES = 4 << 20
+#: Words of a context from which its sums are stored, not added up when asked for.
+LONG = 16
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "kind string, shard int, body binary, n long, a long, b long, c long, d long"
 
 
@@ -100,8 +109,16 @@ class Words:
         return ids, counts
 
 
+def tuple_hash(cols: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each tuple of ids."""
+    h = np.full(len(cols[0]), _BASE)
+    for c in cols:
+        h = mix((h + c.astype(np.uint64) + np.uint64(1)) * _BASE)
+    return h
+
+
 class Splits:
-    """The shard of each (context, word) pair: the context's, or one of several for a context that fills them."""
+    """The shard of each gram: that of its middle words (of two words, of the first), or one of several for frequent words."""
 
     def __init__(self, shards: int, hot_ids: np.ndarray, hot_parts: np.ndarray):
         self.shards, self.hot_ids, self.hot_parts = shards, hot_ids, hot_parts
@@ -112,10 +129,47 @@ class Splits:
         at = np.minimum(np.searchsorted(self.hot_ids, v), len(self.hot_ids) - 1)
         return np.where(self.hot_ids[at] == v, self.hot_parts[at], 1)
 
-    def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        own = (mix(v.astype(np.uint64) + np.uint64(1)) % np.uint64(self.shards)).astype(np.int64)
-        part = (mix(w.astype(np.uint64) + np.uint64(77)) % self.parts(v).astype(np.uint64)).astype(np.int64)
-        return (own + part) % self.shards
+    def shard(self, cols: list[np.ndarray]) -> np.ndarray:
+        middle, spread = (cols[1:-1], cols[0]) if len(cols) > 2 else (cols[:1], cols[-1])
+        own = tuple_hash(middle) % np.uint64(self.shards)
+        parts = self.parts(middle[0])
+        for c in middle[1:]:
+            parts = np.minimum(parts, self.parts(c))
+        part = mix(spread.astype(np.uint64) + np.uint64(77)) % parts.astype(np.uint64)
+        return ((own + part) % np.uint64(self.shards)).astype(np.int64)
+
+
+def _pack_grams(cols: list[np.ndarray], counts: np.ndarray, wide) -> bytes:
+    """Rows of grams: the ids byte by byte, so that like bytes stand together, then the counts; compressed."""
+    planes = [c.astype(wide).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in cols]
+    raw = b"".join(planes) + _pack_counts(counts)
+    return np.array([len(counts), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack_grams(bodies: list[bytes], k: int, wide) -> tuple[list[np.ndarray], np.ndarray]:
+    cols, counts, step = [[] for _ in range(k)], [], np.dtype(wide).itemsize
+    while bodies:
+        body = bodies.pop()
+        n, size = np.frombuffer(body, np.int64, 2).tolist()
+        raw = memoryview(pa.decompress(body[16:], size, codec="zstd", asbytes=True))
+        for i in range(k):
+            plane = np.frombuffer(raw, np.uint8, n * step, i * n * step).reshape(step, n)
+            cols[i].append(np.ascontiguousarray(plane.T).view(wide)[:, 0])
+        counts.append(_unpack_counts(raw[k * n * step :], n)[0])
+    return [np.concatenate(c) for c in cols], np.concatenate(counts)
+
+
+def _gather_equal(cols: list[np.ndarray], counts: np.ndarray, lead: np.ndarray | None = None):
+    """Distinct grams in sorted order with the sums of their counts; ``lead`` sorts before the columns but the last."""
+    order = np.lexsort((cols[-1], lead) if lead is not None else cols[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in (lead, cols[-1]) if lead is not None else cols:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order], first) if len(first) else counts
+    return order[first], total
 
 
 def _texts(batches, text):
@@ -146,9 +200,9 @@ def _deal(rows: DataFrame, shards: int) -> DataFrame:
 class Model:
     """Where the arrays are, and the few numbers that all workers need."""
 
-    def __init__(self, folder, words, splits, vocabulary, tokens, documents, hot, discounts, low_discounts, low_types, low_sum, span):
-        self.folder, self.words, self.splits = folder, words, splits
-        self.vocabulary, self.tokens, self.documents = vocabulary, tokens, documents
+    def __init__(self, folder, order, words, splits, vocabulary, tokens, hot, discounts, low_discounts, low_types, low_sum, span):
+        self.folder, self.order, self.words, self.splits = folder, order, words, splits
+        self.vocabulary, self.tokens = vocabulary, tokens
         self.hot, self.discounts, self.low_discounts, self.low_types, self.low_sum, self.span = hot, discounts, low_discounts, low_types, low_sum, span
 
     def low(self, ids: np.ndarray) -> np.ndarray:
@@ -167,78 +221,108 @@ class Model:
         left = sum(x * t for x, t in zip(self.low_discounts, self.low_types)) / self.low_sum
         return np.maximum(n - d[np.minimum(n, 3)], 0) / self.low_sum + left * flat
 
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """c(v,w) of known ids."""
-        out = np.zeros(len(v), np.int64)
-        shard = self.splits.shard(v, w)
-        key = v.astype(np.uint64) * np.uint64(self.vocabulary + 1) + w.astype(np.uint64)
-        order = np.lexsort((key, shard))
-        s, k = shard[order], key[order]
-        for one in np.unique(s).tolist():
-            lo, hi = np.searchsorted(s, [one, one + 1])
-            keys = arrays.get(self.folder, f"pairs-{one}")
-            if len(keys) == 0:
-                continue
-            at = np.minimum(np.searchsorted(keys, k[lo:hi]), len(keys) - 1)
-            hit = keys[at] == k[lo:hi]
-            c = arrays.get(self.folder, f"pair-counts-{one}")[at].astype(np.int64)
-            big = hit & (c == 255)
-            if big.any():
-                full = arrays.get(self.folder, f"pair-large-{one}")
-                rank = np.searchsorted(arrays.get(self.folder, f"pair-large-at-{one}"), at[big])
-                c[big] = full[rank]
-            out[order[lo:hi]] = np.where(hit, c, 0)
-        return out
-
-    def contexts(self, v: np.ndarray) -> np.ndarray:
-        """Numbers of words seen once, twice, and more often after each context (rows of three)."""
-        out = np.zeros((len(v), 3), np.int64)
-        own = self.splits.shard(v, np.zeros(len(v), np.int64))
-        for i in np.flatnonzero(self.splits.parts(v) > 1).tolist():
-            out[i] = self.hot.get(int(v[i]), (0, 0, 0))
-        plain = np.flatnonzero(self.splits.parts(v) == 1)
-        order = plain[np.lexsort((v[plain], own[plain]))]
-        s = own[order]
-        for one in np.unique(s).tolist():
-            lo, hi = np.searchsorted(s, [one, one + 1])
-            keys = arrays.get(self.folder, f"contexts-{one}")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, v[order[lo:hi]]), len(keys) - 1)
-                hit = keys[at] == v[order[lo:hi]]
-                out[order[lo:hi][hit]] = arrays.get(self.folder, f"context-types-{one}")[at[hit]]
-        return out
+    def lookup(self, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each gram and, for its context, the sum of counts and the numbers of words counted once, twice and more."""
+        k = len(cols)
+        n = len(cols[0])
+        count, stats = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+        known = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in cols[:-1]]))
+        if len(known) == 0 or not self.vocabulary:
+            return count, stats
+        cols = [c[known] for c in cols]
+        # of a split two-word context an unknown word's shard does not matter: its sums come from ``hot``
+        shard, h = self.splits.shard([*cols[:-1], np.maximum(cols[-1], 0)]), tuple_hash(cols[:-1])
+        order = np.lexsort((cols[-1], h, shard))
+        shard, h, w = shard[order], h[order], cols[-1][order]
+        for s in np.unique(shard).tolist():
+            a, b = np.searchsorted(shard, [s, s + 1])
+            count[known[order[a:b]]], stats[known[order[a:b]]] = self._in_shard(k, s, h[a:b], w[a:b])
+        if k == 2:
+            for i in np.flatnonzero(self.splits.parts(cols[0]) > 1).tolist():
+                stats[known[i]] = self.hot.get(int(cols[0][i]), (0, 0, 0, 0))
+        return count, stats
+
+    def _in_shard(self, k: int, s: int, h: np.ndarray, w: np.ndarray):
+        """Lookups in one shard, sorted by context hash and word."""
+        get = lambda name: arrays.get(self.folder, f"{name}-{k}-{s}")
+        keys, count, stats = get("contexts"), np.zeros(len(h), np.int64), np.zeros((len(h), 4), np.int64)
+        if len(keys) == 0:
+            return count, stats
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        found = np.flatnonzero(keys[at] == h)
+        if len(found) == 0:
+            return count, stats
+        at, w = at[found], w[found]
+        ends, words = get("ends"), get("next")
+        lo, hi = ends[at].astype(np.int64), ends[at + 1].astype(np.int64)
+        # the word's place among the context's words, by binary search in step
+        i, j = lo.copy(), hi.copy()
+        while True:
+            open_ = np.flatnonzero(i < j)
+            if len(open_) == 0:
+                break
+            mid = (i[open_] + j[open_]) >> 1
+            below = words[mid] < w[open_]
+            i[open_] = np.where(below, mid + 1, i[open_])
+            j[open_] = np.where(below, j[open_], mid)
+        hit = np.flatnonzero(i < hi)
+        hit = hit[words[i[hit]] == w[hit]]
+        count[found[hit]] = self._counts_at(get, i[hit])
+        # sums of each context, stored for long ones, added up for the others
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        size, own = (hi - lo)[new], np.zeros((len(new), 4), np.int64)
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            own[long] = get("long-sums")[np.searchsorted(get("long-at"), at[new[long]])]
+        short = np.flatnonzero(size <= LONG)
+        if len(short):
+            n = size[short]
+            first = np.cumsum(n) - n
+            c = self._counts_at(get, np.repeat(lo[new[short]] - first, n) + np.arange(int(n.sum())))
+            own[short] = _sums(c, first)
+        stats[found] = own[np.cumsum(np.r_[True, at[1:] != at[:-1]]) - 1]
+        return count, stats
+
+    @staticmethod
+    def _counts_at(get, places: np.ndarray) -> np.ndarray:
+        c = get("counts")[places].astype(np.int64)
+        large = np.flatnonzero(c == 255)
+        if len(large):
+            c[large] = get("large")[np.searchsorted(get("large-at"), places[large])]
+        return c
 
     def score_chunk(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per row: tokens, known tokens, base score, model score."""
         tokens, first = token_hashes(data, offs)
         uniq, inv = np.unique(tokens, return_inverse=True)
-        ids, counts = self.words.find(uniq)
+        found, counts = self.words.find(uniq)
         base = np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
-        low = self.low(ids)
-        w = ids[inv]
-        # contexts: the token before, or the start of the text, whose id is the vocabulary's size
-        v_at = np.r_[0, inv[:-1] + 1]
-        v_at[first[:-1]] = 0
-        u_ids, u_counts = np.r_[self.vocabulary, ids], np.r_[self.documents, counts]
-        types = np.zeros((len(u_ids), 3), np.int64)
-        seen = (u_ids >= 0) & (u_counts > 0)
-        types[seen] = self.contexts(u_ids[seen])
-        left = np.zeros(len(u_ids))
-        left[seen] = types[seen] @ np.array(self.discounts) / u_counts[seen]
-        code = v_at.astype(np.int64) * (len(uniq) + 1) + inv
-        pair, back = np.unique(code, return_inverse=True)
-        pv, pw = pair // (len(uniq) + 1), pair % (len(uniq) + 1)
-        both = seen[pv] & (ids[pw] >= 0)
-        c = np.zeros(len(pair), np.int64)
-        c[both] = self.pairs(u_ids[pv[both]], ids[pw[both]])
-        d = np.r_[0.0, self.discounts]
-        p = np.where(seen[pv], np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(u_counts[pv], 1) + left[pv] * low[pw], low[pw])
-        logs = np.log10(p)[back]
-        known = (w >= 0).astype(np.int64)
+        # local word numbers; the start symbol, whose id is the vocabulary's size, is the last
+        ids, start = np.r_[found, self.vocabulary], len(uniq)
+        place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+        rank, p = inv, self.low(found)
+        for k in range(2, self.order + 1):
+            before = lambda j: np.where(place >= j, inv[np.maximum(np.arange(len(inv)) - j, 0)], start)
+            code, at, back = np.unique(before(k - 1) * np.int64(len(p) + 1) + rank, return_index=True, return_inverse=True)
+            cols = [ids[before(j)[at]] for j in range(k - 1, 0, -1)] + [ids[inv[at]]]
+            c, stats = self.lookup(cols)
+            p = p[rank[at]]
+            seen = stats[:, 0] > 0
+            d = np.r_[0.0, self.discounts[k]]
+            c, stats = c[seen], stats[seen]
+            p[seen] = (np.maximum(c - d[np.minimum(c, 3)], 0) + (stats[:, 1:] @ d[1:]) * p[seen]) / stats[:, 0]
+            rank = back
+        logs = np.log10(p)[rank]
+        known = (found >= 0).astype(np.int64)[inv]
         at = first[:-1]
         return np.diff(first), np.add.reduceat(known, at), np.add.reduceat(base[inv], at), np.add.reduceat(logs, at)
 
 
+def _sums(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each stretch: the sum of counts, and how many are one, two, and more."""
+    return np.stack([np.add.reduceat(x, first) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64))], 1)
+
+
 def _discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
@@ -249,23 +333,23 @@ def _discounts(n: list[int]) -> list[float]:
     return out
 
 
-def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3, per_shard: int = PER_SHARD) -> Model:
     """Count ``docs`` and write the model to the shared folder."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
     small_batches(spark, 200)
     rows = docs.select(text)
-    shards = shards or max(8, rows.rdd.getNumPartitions())
-    bits = max(0, (shards - 1).bit_length())
+    bits = max(3, (rows.rdd.getNumPartitions() - 1).bit_length())
     ranges = 1 << bits
-    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "lm")
 
     def count_words(batches):
         held, size = [], 0
 
         def flush():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            cut = np.searchsorted(shard, np.arange(ranges + 1))
+            cut = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange(ranges + 1))
             return _batch([_row("words", k, keys[a:b].tobytes() + _pack_counts(counts[a:b]), int(b - a)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a])
 
         for data, offs in _texts(batches, text):
@@ -289,10 +373,9 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
             keys, counts = _sum_by(np.concatenate(keys), np.concatenate(counts))
             arrays.put(folder, f"words-{shard}", keys)
             arrays.put(folder, f"counts-{shard}", counts)
-            top = np.argsort(-counts, kind="stable")[: 4 * shards]
-            hot = np.stack([top, counts[top]], 1).astype("<i8")
+            top = np.flatnonzero(counts > per_shard // 4)
             ends = counts[keys == END]
-            yield _batch([_row("words", shard, hot.tobytes(), len(keys), int(counts.sum()), int(ends.sum()))])
+            yield _batch([_row("words", shard, np.stack([top, counts[top]], 1).astype("<i8").tobytes(), len(keys), int(counts.sum()), int(ends.sum()))])
 
     first_pass = materialize(_deal(rows.mapInArrow(_with_length(count_words), _ROWS), ranges).mapInArrow(sum_words, _ROWS), "lm-words")
     sizes = np.zeros(ranges + 1, np.int64)
@@ -303,47 +386,49 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
     starts = np.cumsum(sizes)
     vocabulary = int(starts[-1])
     words = Words(folder, bits, starts)
-    share = max(1, tokens // shards)
+    shards = max(1, -(-tokens // per_shard))
+    quarter = max(1, per_shard // 4)
     hot = {}
     for r in first_pass.select("shard", "body").toLocalIterator():
-        # a shard lists its 4 * shards most frequent words; those above a shard's share number at most `shards` in all
-        for at, c in np.frombuffer(r["body"], "<i8").reshape(-1, 2):
-            if c > share:
-                hot[int(starts[r["shard"]] + at)] = int(-(-c // share))
-    if documents > share:
-        hot[vocabulary] = int(-(-documents // share))
+        for at, c in np.frombuffer(r["body"], "<i8").reshape(-1, 2).tolist():  # at most four a shard of grams
+            hot[int(starts[r["shard"]]) + at] = -(-c // quarter)
+    if documents > quarter:
+        hot[vocabulary] = -(-documents // quarter)
+    drop_scratch(first_pass)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the first pass
     hot_ids = np.array(sorted(hot), np.int64)
     splits = Splits(shards, hot_ids, np.array([min(shards, hot[i]) for i in hot_ids.tolist()], np.int64))
     span = max(1, -(-(vocabulary + 1) // shards))
     wide = np.uint32 if vocabulary < 2**32 - 1 else np.uint64
-    step = np.dtype(wide).itemsize
 
-    def count_pairs(batches):
+    def dealt(kind: str, cols: list[np.ndarray], counts: np.ndarray) -> list[tuple]:
+        """Sorted grams as rows for their shards."""
+        shard = splits.shard(cols)
+        by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")  # grams stay sorted inside a shard
+        s = shard[by]
+        edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True]) if len(s) else np.zeros(1, np.int64)
+        return [_row(kind, int(s[a]), _pack_grams([c[by[a:b]] for c in cols], counts[by[a:b]], wide)) for a, b in zip(edge[:-1], edge[1:])]
+
+    def count_grams(batches):
         arrays.close_others(folder)
         held, size = [], 0
 
         def flush():
-            pair, counts = np.unique(np.concatenate(held), return_counts=True)
-            v, w = (pair // np.uint64(vocabulary + 1)).astype(np.int64), (pair % np.uint64(vocabulary + 1)).astype(np.int64)
-            shard = splits.shard(v, w)
-            order = np.argsort(shard, kind="stable")  # pairs stay sorted inside a shard
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = []
-            for k in range(shards):
-                at = order[cut[k] : cut[k + 1]]
-                if len(at):
-                    contexts, runs = np.unique(v[at], return_counts=True)
-                    body = np.array([len(contexts), len(at)], np.int64).tobytes() + contexts.astype(wide).tobytes() + _pack_counts(runs) + w[at].astype(wide).tobytes() + _pack_counts(counts[at])
-                    out.append(_row("pairs", k, body))
-            return _batch(out)
+            cols = [np.concatenate(c) for c in zip(*held)]
+            # the middle word first, so that a shard's rows have runs of it
+            lead = cols[1:-1] + [cols[0], cols[-1]]
+            at, counts = _gather_equal(lead, np.ones(len(cols[0]), np.int64))
+            return _batch(dealt("grams", [c[at] for c in cols], counts))
 
         for data, offs in _texts(batches, text):
             hashes, first = token_hashes(data, offs)
             uniq, inv = np.unique(hashes, return_inverse=True)
-            ids = words.find(uniq)[0][inv].astype(np.uint64)
-            before = np.r_[np.uint64(0), ids[:-1]]
-            before[first[:-1]] = vocabulary
-            held.append(before * np.uint64(vocabulary + 1) + ids)
+            ids = words.find(uniq)[0][inv].astype(wide)
+            place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+            cols = [ids]
+            for j in range(1, order):
+                cols.insert(0, np.where(place >= j, np.r_[np.zeros(j, wide), ids[:-j]][: len(ids)], wide(vocabulary)))
+            held.append(cols)
             size += len(ids)
             if size >= FLUSH_TOKENS:
                 yield flush()
@@ -351,47 +436,56 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
         if held:
             yield flush()
 
-    def sum_pairs(batches):
-        for shard, bodies in _by_shard(batches):
-            keys, counts = [], []
-            for body in bodies:
-                view = memoryview(body)
-                nv, n = np.frombuffer(view, np.int64, 2)
-                at = 16
-                v = np.frombuffer(view, wide, nv, at).astype(np.uint64)
-                at += step * int(nv)
-                runs, used = _unpack_counts(view[at:], int(nv))
-                at += used
-                w = np.frombuffer(view, wide, n, at).astype(np.uint64)
-                at += step * int(n)
-                counts.append(_unpack_counts(view[at:], int(n))[0])
-                keys.append(np.repeat(v, runs) * np.uint64(vocabulary + 1) + w)
-            keys, counts = _sum_by(np.concatenate(keys), np.concatenate(counts))
-            arrays.put(folder, f"pairs-{shard}", keys)
-            arrays.put(folder, f"pair-counts-{shard}", np.minimum(counts, 255).astype(np.uint8))
-            big = np.flatnonzero(counts >= 255)
-            arrays.put(folder, f"pair-large-at-{shard}", big)
-            arrays.put(folder, f"pair-large-{shard}", counts[big])
-            v = (keys // np.uint64(vocabulary + 1)).astype(np.int64)
-            contexts, inv = np.unique(v, return_inverse=True)
-            types = np.stack([np.bincount(inv[m], minlength=len(contexts)) for m in (counts == 1, counts == 2, counts >= 3)], 1)
-            arrays.put(folder, f"contexts-{shard}", contexts)
-            arrays.put(folder, f"context-types-{shard}", types.astype(np.uint32))
-            out = [_row("sizes", shard, b"", len(keys), *[int((counts == k).sum()) for k in (1, 2, 3, 4)])]
-            out += [_row("hot", shard, b"", int(contexts[i]), *[int(x) for x in types[i]]) for i in np.flatnonzero(splits.parts(contexts) > 1).tolist()]
-            w, n = np.unique((keys % np.uint64(vocabulary + 1)).astype(np.int64), return_counts=True)
-            cut = np.searchsorted(w // span, np.arange(shards + 1))
-            out += [_row("low", k, np.array([b - a], np.int64).tobytes() + w[a:b].astype(wide).tobytes() + _pack_counts(n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            yield _batch(out)
-
-    second = materialize(_deal(rows.mapInArrow(count_pairs, _ROWS), shards).mapInArrow(sum_pairs, _ROWS), "lm-pairs")
-    done = {r["shard"]: r for r in second.where("kind = 'sizes'").select("shard", "a", "b", "c", "d").collect()}
-    n_counts = [sum(r[k] for r in done.values()) for k in "abcd"]
-    hot_types = {r["n"]: (r["a"], r["b"], r["c"]) for r in second.where("kind = 'hot'").groupBy("n").agg(*[F.sum(k).alias(k) for k in "abc"]).collect()}
-    if vocabulary:
-        for k in set(range(shards)) - set(done):
-            arrays.put(folder, f"pairs-{k}", np.zeros(0, np.uint64))
-            arrays.put(folder, f"contexts-{k}", np.zeros(0, np.int64))
+    def sum_grams(k: int):
+        def run(batches):
+            for shard, bodies in _by_shard(batches):
+                put = lambda name, x: arrays.put(folder, f"{name}-{k}-{shard}", x)
+                cols, counts = _unpack_grams(bodies, k, wide)
+                h = tuple_hash(cols[:-1])
+                at, counts = _gather_equal(cols, counts, h)
+                cols, h = [c[at] for c in cols], h[at]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                ends = np.r_[first, len(h)]
+                put("contexts", h[first])
+                put("ends", ends.astype(np.uint32 if len(h) < 2**32 else np.int64))
+                put("next", cols[-1])
+                put("counts", np.minimum(counts, 255).astype(np.uint8))
+                large = np.flatnonzero(counts >= 255)
+                put("large-at", large)
+                put("large", counts[large])
+                sums = _sums(counts, first)
+                long = np.flatnonzero(np.diff(ends) > LONG)
+                put("long-at", long)
+                put("long-sums", sums[long])
+                out = [_row("sizes", shard, b"", len(h), *[int((counts == c).sum()) for c in (1, 2, 3, 4)])]
+                if k > 2:
+                    rest = cols[1:]
+                    at, before = _gather_equal(rest[1:-1] + [rest[0], rest[-1]], np.ones(len(h), np.int64))
+                    out += dealt("grams", [c[at] for c in rest], before)
+                else:
+                    split = np.flatnonzero(splits.parts(cols[0][first]) > 1)
+                    out += [_row("hot", shard, b"", int(cols[0][first[i]]), *sums[i].tolist()) for i in split.tolist()]
+                    w, n = np.unique(cols[-1].astype(np.int64), return_counts=True)
+                    edge = np.flatnonzero(np.r_[True, (w[1:] // span) != (w[:-1] // span), True])
+                    out += [_row("low", int(w[a] // span), np.array([b - a], np.int64).tobytes() + w[a:b].astype(wide).tobytes() + _pack_counts(n[a:b])) for a, b in zip(edge[:-1], edge[1:])]
+                yield _batch(out)
+
+        return run
+
+    discounts, hot_sums, level = {}, {}, rows.mapInArrow(count_grams, _ROWS)
+    for k in range(order, 1, -1):
+        written = materialize(_deal(level, shards).mapInArrow(sum_grams(k), _ROWS), f"lm-{k}")
+        drop_scratch(level)
+        spark.sparkContext._jvm.System.gc()
+        done = {r["shard"]: r for r in written.where("kind = 'sizes'").select("shard", "a", "b", "c", "d").collect()}
+        discounts[k] = _discounts([sum(r[c] for r in done.values()) for c in "abcd"])
+        if vocabulary:
+            for s in set(range(shards)) - set(done):
+                arrays.put(folder, f"contexts-{k}-{s}", np.zeros(0, np.uint64))
+        if k == 2:
+            hot_sums = {r["n"]: tuple(r[c] for c in "abcd") for r in written.where("kind = 'hot'").groupBy("n").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
+        level = written.where("kind IN ('grams', 'low')")
+        level.scratch = written.scratch
 
     def sum_low(batches):
         for shard, bodies in _by_shard(batches):
@@ -400,18 +494,19 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
                 view = memoryview(body)
                 n = int(np.frombuffer(view, np.int64, 1)[0])
                 w = np.frombuffer(view, wide, n, 8).astype(np.int64)
-                total[w - shard * span] += _unpack_counts(view[8 + step * n :], n)[0]
+                total[w - shard * span] += _unpack_counts(view[8 + np.dtype(wide).itemsize * n :], n)[0]
             arrays.put(folder, f"low-{shard}", total.astype(np.uint32 if total.max() < 2**32 else np.int64))
             yield _batch([_row("low", shard, b"", int(total.sum()), *[int((total == k).sum()) for k in (1, 2, 3, 4)]), _row("most", shard, b"", int((total >= 3).sum()))])
 
-    third = materialize(_deal(second.where("kind = 'low'"), shards).mapInArrow(sum_low, _ROWS), "lm-low").select("kind", "shard", "n", "a", "b", "c", "d").collect()
+    third = materialize(_deal(level, shards).mapInArrow(sum_low, _ROWS), "lm-low").select("kind", "shard", "n", "a", "b", "c", "d").collect()
+    drop_scratch(level)
     lows = [r for r in third if r["kind"] == "low"]
     low_counts = [sum(r[k] for r in lows) for k in "abcd"]
     low_types = [low_counts[0], low_counts[1], sum(r["n"] for r in third if r["kind"] == "most")]
     if vocabulary:
         for k in set(range(shards)) - {r["shard"] for r in lows}:
             arrays.put(folder, f"low-{k}", np.zeros(span, np.uint32))
-    return Model(folder, words, splits, vocabulary, tokens, documents, hot_types, _discounts(n_counts), _discounts(low_counts), low_types, sum(r["n"] for r in lows), span)
+    return Model(folder, order, words, splits, vocabulary, tokens, hot_sums, discounts, _discounts(low_counts), low_types, sum(r["n"] for r in lows), span)
 
 
 def _body_rows(body: bytes) -> int:
@@ -441,7 +536,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         arrays.close_others(m.folder)
         for batch in batches:
             data, offs = raw_text(batch.column(text))
-            cols = [m.score_chunk(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in chunks(offs)]
+            cols = [m.score_chunk(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in chunks(offs, SCORE_BYTES)]
             own = [np.concatenate(c) for c in zip(*cols)] if cols else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in own]], names=[*batch.schema.names, "n_tokens", "n_known", "base_score", "score"])
 
