@@ -103,7 +103,7 @@ def test_prepare_run(spark, tmp_path):
     small = sampling.sample_by_level(normalize.normalize(jsonl.scan_traces(spark, src)).where("sample_id < 60"), 4, 3, chunk=7)
     assert [r["sample_id"] for r in small.collect()] == [w["sample_id"] for w in want]
     out = runs.save_prepared(spark, src, str(tmp_path / "out"), runs.Prepare(num_per_level=4, seed=3))
-    written = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
+    written = [json.loads(x) for x in open(out, encoding="utf-8")]
     assert [w["sample_id"] for w in written] == [w["sample_id"] for w in want] and written[0]["generated_answer"] == str(want[0]["sample_id"])
     hist = filtering.level_histogram(sample.where("level <> 'Level 3'")).collect()
     assert [(r["level"], r["n"]) for r in hist] == [(lv, 0 if lv == "Level 3" else 4) for lv in filtering.LEVELS]
@@ -128,7 +128,9 @@ def test_shards_resume_and_merge(spark, tmp_path):
     for s, ids in ((0, [3, 1]), (10, [2, None]), (2, [0, 2])):
         lines(tmp_path / f"greedy_compressed_shard{s}.jsonl", [{"sample_id": i, "s": s} if i is not None else {"s": s} for i in ids] + [""])
     runs.merge(spark, str(tmp_path), str(tmp_path / "merged"))
-    merged = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "merged")).collect()]
+    merged = [json.loads(r["value"]) for r in jsonl.place_of_lines(spark, str(tmp_path / "merged")).orderBy("place").collect()]
+    runs.merge(spark, str(tmp_path), str(tmp_path / "one.jsonl"), single_file=True)
+    assert [json.loads(x) for x in (tmp_path / "one.jsonl").read_text().splitlines()] == merged
     assert [(m.get("sample_id"), m["s"]) for m in merged] == [(None, 10), (0, 2), (1, 0), (2, 10), (2, 2), (3, 0)]
     src = lines(tmp_path / "in.jsonl", [trace(i) for i in range(4)])
     done = lines(tmp_path / "done.jsonl", [{"sample_id": 1}, "broken"])
@@ -266,6 +268,44 @@ def test_generation_and_export(spark, tmp_path):
     assert (tmp_path / "sft.json").exists() and not os.path.exists(tmp_path / "none.json")
 
 
+def fake_generator(args):
+    return lambda prompts: [(f"so\n\nstep {p}\n</think>\n\n\\boxed{{1}}", 4) for p in prompts]
+
+
+def fake_scorer(args, df):
+    return df.withColumn("step_scores", F.transform("steps", lambda s: F.length(s).cast("double")))
+
+
+def fake_provider(args, chat):
+    return P.FakeProvider()
+
+
+def fake_chat(args):
+    return lambda messages: "refined"
+
+
+def test_commands_from_problems_to_training_entries(spark, tmp_path, capsys):
+    from tracemill.__main__ import main
+
+    df = spark.createDataFrame([(f"p{i}", str(i), "Level 1") for i in range(7)], "problem string, answer string, level string")
+    df.coalesce(1).write.parquet(str(tmp_path / "ds" / "data"))
+    here, out = __name__, str(tmp_path / "out")
+    main(["generate", "--model_path", "models/m", "--data_path", str(tmp_path / "ds"), "--output_dir", out, "--dataset", "d", "--generator", f"{here}:fake_generator"])
+    source = f"{out}/m/d_cot.jsonl"
+    assert paths.resolve_traces(spark, out).endswith("d_cot.jsonl") and spark.read.text(source).count() == 7
+    flags = ["--data_path", source, "--output_dir", out, "--scorer", f"{here}:fake_scorer", "--provider", f"{here}:fake_provider", "--num_shards", "3"]
+    for s in (0, 1, 1):  # a shard that is run again has nothing left to do
+        main(["compress", *flags, "--shard_id", str(s)])
+    main(["compress", *flags, "--shard_id", "2", "--canonical_path", str(tmp_path / "done.jsonl")])
+    done = [json.loads(x) for x in (tmp_path / "done.jsonl").read_text().splitlines()]
+    assert [r["sample_id"] for r in done] == list(range(7)) and list(done[0]) == C.RESULT_COLUMNS
+    main(["export", "--input_file", str(tmp_path / "done.jsonl"), "--output_file", str(tmp_path / "sft.json"), "--model", "m", "--chat", f"{here}:fake_chat", "--limit", "5", "--num_workers", "2"])
+    data = json.loads((tmp_path / "sft.json").read_text())
+    assert len(data) == 10 and data[0]["output"] == "<think>\nrefined\n</think>\n\n"
+    with pytest.raises(ValueError, match="api_key"):
+        main(["compress", *flags, "--enable_fuse"])
+
+
 def test_stream_resumes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines(tmp_path / "in" / "a.jsonl", [{"sample_id": 1}, "", {"sample_id": 2}])
@@ -275,3 +315,15 @@ def test_stream_resumes(spark, tmp_path):
             lines(tmp_path / "in" / "b.jsonl", more)
         process_as_they_come(follow_traces(spark, str(tmp_path / "in")), work, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(json.loads(r["value"])["sample_id"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
+def test_stream_passes_blank_lines_and_replays_without_repeats(spark, tmp_path):
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    lines(tmp_path / "in" / "a.jsonl", [{"sample_id": 1}, "\t\t", "\u2003", {"sample_id": 2}])
+    work = lambda df: df.select(F.col("m")["sample_id"].alias("sample_id"), F.lit(None).cast("string").alias("error"))
+    for _ in range(2):  # the second run has lost the checkpoint: the same micro-batch comes again
+        process_as_they_come(follow_traces(spark, str(tmp_path / "in")), work, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        shutil.rmtree(tmp_path / "cp")
+    assert sorted(json.loads(r["value"])["sample_id"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1", "2"]

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .text import after_first, after_last, before_first, let, py_strip, word_count
 
-# Rewrites of the normal form, in their order. A pair is a literal and what replaces it.
+# Rewrites of the normal form, in their order. A pair is a literal and what replaces it. The percent sign's stands twice: behind
+# two backslashes it bites twice.
 _SAME_FRACTION = [("tfrac", "frac"), ("dfrac", "frac"), ("cfrac", "frac"), ("\\left", ""), ("\\right", "")]
 _DEGREES = ["^{\\circ}", "^\\circ"]
 _UNITS = [(r"\{(?:c|m)?m\}(?:\^(?:2|3))?", ""), (r"p\.m\.$", ""), (r"(\d)[\s\x1c-\x1f]*t$", "$1")]

@@ -208,27 +208,29 @@ def options(score: float, low: float, high: float, similarity: float | None, has
     return [a for a in found if on.get(a, True)] or ["KEEP"]
 
 
+def apply_action(provider, action: str, kept: list[str], step: str) -> tuple[list[str], str] | None:
+    """(steps kept afterwards, the text the action made); None where there is nothing to fuse with."""
+    if action == "PRUNE":
+        return list(kept), ""
+    if action == "KEEP":
+        return [*kept, step], step
+    if action == "REWRITE":
+        text = provider.rewrite(step, "\n\n".join(kept))
+        return [*kept, text], text
+    if not kept:
+        return None
+    text = provider.fuse(kept[-1], step, "\n\n".join(kept[:-1]))
+    return [*kept[:-1], text], text
+
+
 def greedy(provider, gate: Gate, prompt: str, steps: list[str], scores: list[float], answer: str):
     """The fold with a provider: (kept steps, score, actions). The log-probability before a step is asked for once."""
     low, high = thresholds(scores, gate)
     kept, actions, total = [], [], 0.0
     before = provider.logprob(prompt, "", answer)
 
-    def outcome(action: str, step: str):
-        if action == "PRUNE":
-            return list(kept), ""
-        if action == "KEEP":
-            return [*kept, step], step
-        if action == "REWRITE":
-            text = provider.rewrite(step, "\n\n".join(kept))
-            return [*kept, text], text
-        if not kept:
-            return None
-        text = provider.fuse(kept[-1], step, "\n\n".join(kept[:-1]))
-        return [*kept[:-1], text], text
-
     def tried(action: str, step: str):
-        made = outcome(action, step)
+        made = apply_action(provider, action, kept, step)
         if made is None:
             return None
         after = before if made[0] == kept else provider.logprob(prompt, "\n\n".join(made[0]), answer)
@@ -248,6 +250,12 @@ def greedy(provider, gate: Gate, prompt: str, steps: list[str], scores: list[flo
     return kept, total, actions
 
 
+def compressed_records(results: DataFrame) -> DataFrame:
+    """The columns of a compressed trace, in order, of the rows without an error; the others are tried again on the next run."""
+    ok = results.where(F.col("error").isNull()) if "error" in results.columns else results
+    return ok.select(*RESULT_COLUMNS)
+
+
 def run_stats(results: DataFrame) -> DataFrame:
     """One row: total, success, failed, and averages over the rows that have the value."""
     ok = F.col("error").isNull() if "error" in results.columns else F.lit(True)

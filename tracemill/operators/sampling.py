@@ -12,6 +12,8 @@ from .filtering import LEVELS
 
 #: Rows of input order that are ranked together.
 CHUNK = 1 << 20
+#: Parts of a level that are ranked by themselves.
+SALTS = 64
 
 
 def picks(counts: dict[str, int], num_per_level: int, seed: int) -> list[tuple[str, int, int]]:
@@ -28,9 +30,11 @@ def picks(counts: dict[str, int], num_per_level: int, seed: int) -> list[tuple[s
     return [(level, rank, place) for place, (level, rank) in enumerate(chosen)]
 
 
-def sample_by_level(df: DataFrame, num_per_level: int = 500, seed: int = 42, order: str = "idx", chunk: int = CHUNK) -> DataFrame:
+def sample_by_level(df: DataFrame, num_per_level: int = 500, seed: int = 42, order: str = "idx", chunk: int = CHUNK, choose=None) -> DataFrame:
     """The sample with column ``out_pos``, its place. The driver holds at most 5 * num_per_level picks.
 
+    ``choose`` maps the counts of the levels to other picks: (level, rank, place), each record once.
+
     Ranks come from counts of (level, chunk of the input order): only chunks that hold a pick are
     ranked, each by itself, so no level goes through one task.
     """
@@ -40,7 +44,7 @@ def sample_by_level(df: DataFrame, num_per_level: int = 500, seed: int = 42, ord
     before = Window.partitionBy("__l").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     totals = {r["__l"]: r["n"] for r in counts.groupBy("__l").agg(F.sum("__n").alias("n")).collect()}
-    chosen = df.sparkSession.createDataFrame(picks(totals, num_per_level, seed), "__pl string, __rank long, out_pos long")
+    chosen = df.sparkSession.createDataFrame(choose(totals) if choose else picks(totals, num_per_level, seed), "__pl string, __rank long, out_pos long")
     held = chosen.join(counts, (F.col("__pl") == F.col("__l")) & (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__n")))
     held = held.select("__pl", F.col("__c").alias("__pc"), (F.col("__rank") - F.col("__before")).alias("__in"), "out_pos")
     ranked = rows.join(F.broadcast(held.select(F.col("__pl").alias("__kl"), F.col("__pc").alias("__kc")).distinct()), (F.col("level") == F.col("__kl")) & (F.col("__chunk") == F.col("__kc")), "left_semi")
@@ -50,9 +54,14 @@ def sample_by_level(df: DataFrame, num_per_level: int = 500, seed: int = 42, ord
 
 
 def sample_by_hash(df: DataFrame, num_per_level: int, seed: int, key: Column) -> DataFrame:
-    """A seeded sample without draws on the driver: the records of each level with the least hash of key and seed."""
-    rank = F.row_number().over(Window.partitionBy("level").orderBy(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), key))
-    return df.where(F.col("level").isin(LEVELS)).withColumn("level_rank", rank).where(F.col("level_rank") <= num_per_level)
+    """A seeded sample without draws on the driver: the records of each level with the least hash of key and seed.
+
+    Each level is first cut down in SALTS parts, so no task ranks a whole level.
+    """
+    order = [F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), key]
+    rows = df.where(F.col("level").isin(LEVELS)).withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    rows = rows.withColumn("level_rank", F.row_number().over(Window.partitionBy("level", "__salt").orderBy(*order))).where(F.col("level_rank") <= num_per_level)
+    return rows.withColumn("level_rank", F.row_number().over(Window.partitionBy("level").orderBy(*order))).where(F.col("level_rank") <= num_per_level).drop("__salt")
 
 
 def with_shard(df: DataFrame, num_shards: int, order: str = "idx", total: int | None = None) -> DataFrame:

@@ -22,10 +22,22 @@ def exploded(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode("steps").alias("pos", "step"))
 
 
+def prefix_ends(steps: Column, separator: str = STEP_SEPARATOR) -> Column:
+    """For each step where the text up to it ends in the joined steps, with a separator behind all but the last."""
+    n, gap = F.size(steps), len(separator)
+    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def step(acc, s):
+        end = acc["at"] + F.length(s) + F.when(F.size(acc["ends"]) + 1 < n, gap).otherwise(0)
+        return F.struct(end.alias("at"), F.array_append(acc["ends"], end).alias("ends"))
+
+    return F.aggregate(steps, init, step, lambda a: a["ends"])
+
+
 def prefixes(steps: Column, separator: str = STEP_SEPARATOR) -> Column:
-    """For each step the text up to it, with a separator behind all but the last."""
-    n = F.size(steps)
-    return F.transform(steps, lambda s, i: F.concat(F.array_join(F.slice(steps, F.lit(1), i + 1), separator), F.when(i + 1 < n, F.lit(separator)).otherwise(F.lit(""))))
+    """The texts up to each step: as long as the square of the trace, so made only where they are scored at once; else keep ``prefix_ends``."""
+    joined = F.array_join(steps, separator)
+    return let(joined, lambda t: F.transform(prefix_ends(steps, separator), lambda e: F.substr(t, F.lit(1), e)))
 
 
 def token_spans(prompt_tokens: Column, prefix_tokens: Column, sequence: Column) -> Column:

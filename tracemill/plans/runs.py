@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT_EOS, REASON_PROMPT, user_prompt
+from ..functions.text import DEFAULT_EOS, REASON_PROMPT, model_name, user_prompt
 from ..operators import compress as C
 from ..operators import export, filtering, normalize, sampling, steps
 from ..sources import jsonl, paths
+from ..sources.scratch import work_folder
 
 
 @dataclass(frozen=True)
@@ -72,9 +74,45 @@ def compress_traces(rows: DataFrame, make_provider, scores, gate: C.Gate = C.Gat
     return C.compress_with(scores(steps.with_steps(rows)), make_provider, gate)
 
 
-def merge(spark: SparkSession, folder: str, output: str) -> None:
-    """All shard results of a folder, by sample id, as one file."""
-    sampling.merge_shards(jsonl.scan_shards(spark, folder)).select("value").coalesce(1).write.mode("overwrite").text(output)
+def compressed_paths(output_dir: str, source: str, shard_id: int | None = None) -> tuple[str, str]:
+    """(the results of a run or shard, the dataset's folder)."""
+    stem = posixpath.splitext(posixpath.basename(source.rstrip("/")))[0]
+    folder = posixpath.join(output_dir, f"compressed_{stem}")
+    return posixpath.join(folder, paths.COMPRESSED_NAME if shard_id is None else f"greedy_compressed_shard{shard_id}.jsonl"), folder
+
+
+def save_compressed(spark: SparkSession, source: str, output_dir: str, make_provider, scores, gate: C.Gate = C.Gate(), num_samples: int | None = None, shard_id: int | None = None, num_shards: int | None = None) -> str:
+    """Compress what has no result yet and add it to the results of the run or shard. Failed traces are tried again on the next run."""
+    target, _ = compressed_paths(output_dir, source, shard_id)
+    parted = shard_id is not None and num_shards is not None
+    rows = pending(spark, source, target, num_samples, shard_id if parted else 0, num_shards if parted else 1)
+    jsonl.append_results(C.compressed_records(compress_traces(rows, make_provider, scores, gate)), target)
+    return target
+
+
+def publish(spark: SparkSession, folder: str, canonical: str, single_file: bool = True) -> str:
+    """Merge the shards of a dataset's folder where there are any, and copy the results to their canonical path."""
+    merged = posixpath.join(folder, paths.COMPRESSED_NAME)
+    if paths.has_shards(spark, folder):
+        merge(spark, folder, merged)
+    jsonl.write_text(jsonl.place_of_lines(spark, merged).orderBy("place").select("value"), canonical, single_file=single_file)
+    return canonical
+
+
+def save_generated(spark: SparkSession, source: str, output_dir: str, dataset: str, model: str, make_model, num_samples: int | None = None, batch_size: int = 32) -> str:
+    """Generate traces for problem records; batches that fail leave gaps in the ids."""
+    from ..providers import generate
+
+    made = work_folder(spark, "generated")
+    generate(prompts(spark, source, num_samples), make_model, batch_size).write.parquet(made)  # paid for once, whatever is lost later
+    target = paths.traces_path(output_dir, model_name(model), dataset)
+    jsonl.write_jsonl(generated_records(spark.read.parquet(made), dataset), target, order=["sample_id"])
+    return target
+
+
+def merge(spark: SparkSession, folder: str, output: str, single_file: bool = False) -> None:
+    """All shard results of a folder, by sample id: a folder of ordered parts, or one file of that name."""
+    jsonl.write_text(sampling.merge_shards(jsonl.scan_shards(spark, folder)).select("value"), output, single_file=single_file)
 
 
 def stats(spark: SparkSession, path: str) -> DataFrame:
@@ -84,18 +122,19 @@ def stats(spark: SparkSession, path: str) -> DataFrame:
     return C.run_stats(rows.select(number("num_steps"), number("num_kept_steps"), number("compression_ratio"), F.when(F.map_contains_key("m", "error"), F.coalesce(F.col("m")["error"], F.lit(""))).alias("error")))
 
 
-def export_sft(spark: SparkSession, source: str, make_chat, output: str, limit: int | None = None, eos: str = DEFAULT_EOS, reason_prompt: str = REASON_PROMPT) -> int:
+def export_sft(spark: SparkSession, source: str, make_chat, output: str, limit: int | None = None, eos: str = DEFAULT_EOS, reason_prompt: str = REASON_PROMPT, workers: int | None = None) -> int:
     """Refine compressed traces and write the training entries as one JSON array; nothing is written if a row keeps failing."""
     from ..providers import refine
 
     rows = jsonl.scan_for_export(spark, source, limit)
     rows = rows.select("idx", *[F.coalesce(F.col("m")[k], F.lit("")).alias(k) for k in ("question", "compressed_output", "original_output")])
-    refined = refine(rows, make_chat)
-    entries = export.sft_entries(refined, F.col("question"), F.col("refined"), F.col("original_output"), F.col("idx"), eos, reason_prompt).persist()
-    try:
-        if entries.isEmpty():
-            return 0
-        entries.count()  # every refinement has succeeded before the file is opened
-        return jsonl.write_json_array(entries, output, ["idx", "entry_no"], ["instruction", "input", "output"])
-    finally:
-        entries.unpersist()
+    if rows.isEmpty():
+        return 0
+    if workers:
+        rows = rows.repartition(workers)
+    # every refinement has succeeded, and is written, before the file is opened: a lost executor does not bill it again
+    done = work_folder(spark, "refined")
+    refine(rows, make_chat).write.parquet(done)
+    refined = spark.read.parquet(done)
+    entries = export.sft_entries(refined, F.col("question"), F.col("refined"), F.col("original_output"), F.col("idx"), eos, reason_prompt)
+    return jsonl.write_json_array(entries, output, ["idx", "entry_no"], ["instruction", "input", "output"])

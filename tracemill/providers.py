@@ -6,8 +6,11 @@ A provider is made in each task by a factory, so clients and weights are loaded
 from __future__ import annotations
 
 import hashlib
+import importlib
+import json
 import random
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -50,11 +53,15 @@ class FakeProvider:
         return len((text or "").split())
 
 
-class ChatTraceProvider(FakeProvider):
-    """Rewriting and fusing by a chat client: ``chat(messages) -> text``. Tried ``retries`` times, ``delay`` seconds apart."""
+class ChatTraceProvider:
+    """Rewriting and fusing by a chat client: ``chat(messages) -> text``. Tried ``retries`` times, ``delay`` seconds apart.
 
-    def __init__(self, chat: Callable[[list[dict]], str], retries: int = 3, delay: float = 1.0):
+    The scores have no default: ``logprob(prompt, thinking, answer)`` and ``count_tokens(text)`` of the language model, ``similarity(a, b)`` of the encoder.
+    """
+
+    def __init__(self, chat: Callable[[list[dict]], str], logprob: Callable[[str, str, str], float], similarity: Callable[[str, str], float], count_tokens: Callable[[str], int], retries: int = 3, delay: float = 1.0):
         self.chat, self.retries, self.delay = chat, retries, delay
+        self.logprob, self.similarity, self.count_tokens = logprob, similarity, count_tokens
 
     def _ask(self, system: str, user: str) -> str:
         return retrying(lambda: self.chat([{"role": "system", "content": system}, {"role": "user", "content": user}]), self.retries, lambda n: self.delay).strip()
@@ -66,6 +73,36 @@ class ChatTraceProvider(FakeProvider):
         return self._ask(FUSE_SYSTEM, FUSE_TEMPLATE.format(first=first, second=second))
 
 
+def chat_client(model: str, api_key: str, base_url: str = "https://api.openai.com/v1", max_tokens: int = 256, temperature: float = 0.0, timeout: float = 600.0) -> Callable[[list[dict]], str]:
+    """``chat(messages) -> text`` over the chat-completions protocol, with the standard library only."""
+
+    def chat(messages: list[dict]) -> str:
+        body = json.dumps({"model": model, "messages": messages, "max_tokens": max_tokens, "temperature": temperature}).encode()
+        asked = urllib.request.Request(f"{base_url.rstrip('/')}/chat/completions", body, {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
+        with urllib.request.urlopen(asked, timeout=timeout) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"] or ""
+
+    return chat
+
+
+def load_factory(spec: str) -> Callable:
+    """The function that ``package.module:name`` means: how a command line names its models."""
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def score_answers(df: DataFrame, make_provider: Callable[[], TraceProvider], prompt: str = "prompt", thinking: str = "thinking", answer: str = "answer") -> DataFrame:
+    """Add ``logprob``, the mean log-probability of the answer behind prompt and thinking."""
+    schema = T.StructType([*df.schema.fields, T.StructField("logprob", T.DoubleType())])
+
+    def run(frames):
+        provider = make_provider()
+        for pdf in frames:
+            yield pdf.assign(logprob=[float(provider.logprob(p, t, a)) for p, t, a in zip(pdf[prompt], pdf[thinking], pdf[answer])])
+
+    return df.mapInPandas(run, schema)
+
+
 def retrying(call: Callable[[], str], retries: int, pause: Callable[[int], float]) -> str:
     """The call's result; the last error once all tries have failed."""
     for n in range(1, retries + 1):
@@ -158,6 +195,31 @@ def attention(df: DataFrame, make_model: Callable[[], Callable[[str, int], np.nd
     return df.mapInPandas(run, schema)
 
 
+#: Tokens of a text that full attention is computed over; positions behind them are left as they are.
+FULL_ATTENTION_TOKENS = 4096
+
+
+def full_attention(df: DataFrame, make_model: Callable[[], Callable[[str, int], list]], text: str, most: int = FULL_ATTENTION_TOKENS) -> DataFrame:
+    """Add ``attention``: layers of heads of square matrices over the text's first ``most`` tokens; null when the model runs out of memory."""
+    kind = T.DoubleType()
+    for _ in range(4):
+        kind = T.ArrayType(kind)
+    schema = T.StructType([*df.schema.fields, T.StructField("attention", kind)])
+
+    def run(frames):
+        model = make_model()
+        for pdf in frames:
+            made = []
+            for t in pdf[text]:
+                try:
+                    made.append([[[[float(x) for x in row] for row in head] for head in layer] for layer in model(t, most)])
+                except MemoryError:
+                    made.append(None)
+            yield pdf.assign(attention=made)
+
+    return df.mapInPandas(run, schema)
+
+
 def fake_embedding(text: str, dim: int = 16) -> np.ndarray:
     """A unit vector that depends on the text alone."""
     v = np.random.default_rng(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")).normal(size=dim)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import let, nonblank
-from .paths import SHARD_GLOB, resolve_parquet
+from .paths import SHARD_GLOB, Store, resolve_parquet
 
 STRINGS = "map<string,string>"
 
@@ -98,16 +98,44 @@ def as_json(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, order: list | None = None, mode: str = "overwrite", single_file: bool = False, columns: list[str] | None = None) -> None:
-    """Write JSON lines, in order if asked: a folder of ordered part files, or one part file for small results."""
+    """Write JSON lines, in order if asked: a folder of ordered part files, or for small results one file of that name."""
     rows = df.orderBy(*order) if order else df
-    rows = as_json(rows, columns)
-    (rows.coalesce(1) if single_file else rows).write.mode(mode).text(path)
+    write_text(as_json(rows, columns), path, mode, single_file)
+
+
+def write_text(rows: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
+    """Rows (value) as lines, in their order."""
+    if not single_file:
+        rows.write.mode(mode).text(path)
+        return
+    parts = path.rstrip("/") + ".parts"
+    rows.coalesce(1).write.mode("overwrite").text(parts)
+    store = Store(rows.sparkSession, path)
+    made = [f for f in store.files(parts, False) if "/part-" in f]
+    if store.exists(path):
+        store.delete(path)
+    store.rename(made[0], path)
+    store.delete(parts)
+
+
+def place_of_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value): the lines of a folder of ordered part files numbered through all files, as one file would be."""
+    lines = read_lines(spark, path)
+    sizes = lines.groupBy(F.col("file").alias("f")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("f", before.alias("before"))
+    return lines.join(sizes, F.col("file") == F.col("f")).select((F.col("before") + F.col("idx")).alias("place"), "value")
+
+
+def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the successful results; failed ones are left for the next run."""
+    ok = df.where(F.col("error").isNull()).drop("error") if "error" in df.columns else df
+    write_jsonl(ok, path, mode=mode)
 
 
 def append_results(df: DataFrame, path: str) -> None:
     """Add successful results to those there are; each task's file appears whole or not at all."""
-    ok = df.where(F.col("error").isNull()).drop("error") if "error" in df.columns else df
-    write_jsonl(ok, path, mode="append")
+    write_results(df, path, "append")
 
 
 def write_json_array(df: DataFrame, path: str, order: list, columns: list[str]) -> int:

@@ -42,6 +42,10 @@ class Store:
     def delete(self, p: str) -> bool:
         return self.fs.delete(self.path(p), True)
 
+    def rename(self, p: str, to: str) -> None:
+        if not self.fs.rename(self.path(p), self.path(to)):
+            raise OSError(f"cannot rename {p} to {to}")
+
 
 def resolve_parquet(spark: SparkSession, path: str) -> str:
     """The file itself, the default file of its data folder, or the only Parquet file there."""
@@ -61,13 +65,13 @@ def resolve_parquet(spark: SparkSession, path: str) -> str:
 
 
 def resolve_traces(spark: SparkSession, path: str) -> str:
-    """The file itself, or the only file of the folder tree that fits the first pattern with a hit."""
+    """The file itself, or the only one of the folder tree that fits the first pattern with a hit. A folder of parts named like a file counts as one."""
     store = Store(spark, path)
-    if store.is_file(path):
+    if store.is_file(path) or (store.is_dir(path) and path.rstrip("/").endswith(TRACE_PATTERNS[-1])):
         return path
     if not store.is_dir(path):
         raise FileNotFoundError(f"no such path: {path}")
-    files = store.files(path, True)
+    files = sorted({posixpath.dirname(f) if posixpath.dirname(f).endswith(TRACE_PATTERNS[-1]) else f for f in store.files(path, True)})
     for suffix in TRACE_PATTERNS:
         found = [f for f in files if f.endswith(suffix)]
         if len(found) == 1:
@@ -77,6 +81,11 @@ def resolve_traces(spark: SparkSession, path: str) -> str:
     raise FileNotFoundError(f"no JSONL file under {path}")
 
 
+def has_shards(spark: SparkSession, folder: str) -> bool:
+    store = Store(spark, folder)
+    return bool(store.fs.globStatus(store.path(posixpath.join(folder, SHARD_GLOB))))
+
+
 def prepared_path(output: str, source: str) -> str:
     """Where prepared traces go: the output if it names a JSONL file, else a file in it named after the source."""
     if output.lower().endswith(".jsonl"):
