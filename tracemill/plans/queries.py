@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import answers as A
 from ..functions import numeric as N
@@ -18,6 +17,7 @@ from ..functions import text as T
 from ..operators import compress as C
 from ..operators import export, filtering, normalize, sampling, steps
 from ..sources import jsonl
+from ..sources.scratch import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,21 +138,21 @@ def gt_candidates(spark, sf_dir):
 
 @query(
     r"""SELECT p_partkey, CASE p_partkey % 6
-  WHEN 0 THEN concat(chr(92), 'frac{', p_size, '}{3}') WHEN 1 THEN concat(p_size, '') WHEN 2 THEN concat('0.', p_size) WHEN 3 THEN concat(chr(92), 'sqrt{', p_size, '}')
-  WHEN 4 THEN concat(chr(92), 'frac{', p_size, '}{7}') ELSE concat(p_size, '%') END AS normal FROM part WHERE p_size < 10"""
+  WHEN 0 THEN CASE WHEN p_size < 10 THEN concat(chr(92), 'frac{', p_size, '}{3}') ELSE concat(chr(92), 'frac{', substr(CAST(p_size AS VARCHAR), 1, 1), '}{', substr(CAST(p_size AS VARCHAR), 2, 1), '}3') END WHEN 1 THEN concat(p_size, '') WHEN 2 THEN concat('0.', p_size) WHEN 3 THEN concat(chr(92), 'sqrt{', p_size, '}')
+  WHEN 4 THEN concat(chr(92), 'frac{', p_size, '}{7}') ELSE concat(p_size, '%') END AS normal FROM part"""
 )
 def strip_answer(spark, sf_dir):
     raw = """CASE p_partkey % 6 WHEN 0 THEN concat(' ', chr(92), 'dfrac', p_size, '3.') WHEN 1 THEN concat('$', p_size, '.000$') WHEN 2 THEN concat('.', p_size)
       WHEN 3 THEN concat(chr(92), 'sqrt', p_size, chr(92), 'text{ cm}') WHEN 4 THEN concat(p_size, ' / ', '7') ELSE concat(p_size, chr(92), '%') END"""
-    return table(spark, sf_dir, "part").where("p_size < 10").selectExpr("p_partkey", f"{raw} AS raw").select("p_partkey", A.strip_string(F.col("raw")).alias("normal"))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{raw} AS raw").select("p_partkey", A.strip_string(F.col("raw")).alias("normal"))
 
 
 _BOXES = "concat('x ', chr(92), 'boxed{', l_orderkey, '} y ', chr(92), 'boxed{a{', l_linenumber, '}b}% boxed{open')"
 
 
-@query(r"SELECT l_orderkey, l_linenumber, concat(l_orderkey, '|a{', l_linenumber, '}b}') AS boxed FROM lineitem WHERE l_linenumber = 1")
+@query(r"SELECT l_orderkey, l_linenumber, concat(l_orderkey, '|a{', l_linenumber, '}b}') AS boxed FROM lineitem")
 def boxed_answers(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey", "l_linenumber", f"{_BOXES} AS t")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_BOXES} AS t")
     return rows.select("l_orderkey", "l_linenumber", F.array_join(A.extract_boxed(F.col("t")), "|").alias("boxed"))
 
 
@@ -205,13 +205,15 @@ def resume_anti_join(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT o_orderkey % 4 AS f, o_orderkey AS line, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS id FROM orders)
-SELECT coalesce(id, 0) AS sample_id, line, row_number() OVER (ORDER BY coalesce(id, 0), f, line) AS place FROM s QUALIFY place <= 100""")
+SELECT coalesce(id, 0) AS sample_id, line, row_number() OVER (ORDER BY coalesce(id, 0), f, line) AS place FROM s""")
 def merge_shards(spark, sf_dir):
-    """The first hundred rows of merged shards, numbered in order."""
+    """All rows of merged shards, numbered in the order that the merge gives them (``merged_shards`` goes through files)."""
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 4 AS file", "o_orderkey AS idx", "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS id")
-    top = sampling.merge_shards(rows, F.col("id")).limit(100)
-    w = Window.orderBy(F.coalesce("id", F.lit(0)), "file", "idx")
-    return top.select(F.coalesce("id", F.lit(0)).alias("sample_id"), F.col("idx").alias("line"), F.row_number().over(w).cast("long").alias("place"))
+    merged = sampling.merge_shards(rows, F.col("id")).select(F.coalesce("id", F.lit(0)).alias("sample_id"), F.col("idx").alias("line"))
+    path = f"{work_folder(spark, 'merge')}/merged.jsonl"
+    jsonl.write_text(jsonl.as_json(merged), path)
+    m = jsonl.strict(F.col("value"))
+    return jsonl.place_of_lines(spark, path).select(m["sample_id"].cast("long").alias("sample_id"), m["line"].cast("long").alias("line"), (F.col("place") + 1).alias("place"))
 
 
 _STEPS = r"s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s]')) AS steps FROM documents)"
@@ -226,9 +228,10 @@ def split_steps(spark, sf_dir):
     return documents_as_traces(spark, sf_dir).select("doc_id", F.size("steps").cast("long").alias("n_steps"), F.md5(F.array_join("steps", "|")).alias("digest"))
 
 
-@query(f"WITH {_STEPS} SELECT doc_id, md5(array_to_string(list_transform(range(1, len(steps) + 1), lambda i: array_to_string(steps[:i], chr(10)) || CASE WHEN i < len(steps) THEN chr(10) ELSE '' END), '|')) AS digest FROM s")
+@query(f"WITH {_STEPS} SELECT doc_id, md5(array_to_string(list_transform(range(1, len(steps) + 1), lambda i: length(array_to_string(steps[:i], chr(10))) + CASE WHEN i < len(steps) THEN 1 ELSE 0 END), ',')) AS ends FROM s")
 def step_prefixes(spark, sf_dir):
-    return documents_as_traces(spark, sf_dir).select("doc_id", F.md5(F.array_join(steps.prefixes(F.col("steps"), "\n"), "|")).alias("digest"))
+    """Where the text up to each step ends."""
+    return documents_as_traces(spark, sf_dir).select("doc_id", F.md5(F.array_join(steps.prefix_ends(F.col("steps"), "\n").cast("array<string>"), ",")).alias("ends"))
 
 
 @query("SELECT vec_id, round(list_avg(CAST(embedding[vec_id % 20 + 1 : vec_id % 20 + vec_id % 7 + 3] AS DOUBLE[])), 6) AS score FROM embeddings")
@@ -315,11 +318,11 @@ def greedy_compress(spark, sf_dir):
     return rows.select("label", F.size("ids").alias("num_steps"), F.size("d.kept").alias("num_kept_steps"), F.array_join(kept, ",").alias("kept"))
 
 
-@query(f"WITH RECURSIVE {_FOLD} SELECT count(*) AS total, round(avg(n), 6) AS avg_steps, round(avg(len(kept)), 6) AS avg_kept_steps, round(avg(1 - len(kept) / n), 6) AS avg_ratio FROM f WHERE pos = n")
+@query(f"WITH RECURSIVE {_FOLD} SELECT count(*) AS total, count(*) AS success, 0::BIGINT AS failed, round(avg(n), 6) AS avg_steps, round(avg(len(kept)), 6) AS avg_kept_steps, round(avg(1 - len(kept) / n), 6) AS avg_ratio FROM f WHERE pos = n")
 def compression_stats(spark, sf_dir):
     rows = greedy_compress(spark, sf_dir).withColumn("compression_ratio", N.compression_ratio(F.col("num_kept_steps"), F.col("num_steps")))
     s = C.run_stats(rows)
-    return s.select("total", *[F.round(c, 6).alias(c) for c in ("avg_steps", "avg_kept_steps", "avg_ratio")])
+    return s.select("total", "success", "failed", *[F.round(c, 6).alias(c) for c in ("avg_steps", "avg_kept_steps", "avg_ratio")])
 
 
 @query("""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
@@ -373,14 +376,12 @@ def attention_positions(spark, sf_dir):
     return rows.select("conv_id", "turn", "p.think_start", "p.think_end", F.size("p.steps").alias("n_steps"))
 
 
-@query("""WITH m AS (SELECT label, vec_id, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 2),
-h AS (SELECT label, list(embedding ORDER BY vec_id) AS e FROM m GROUP BY label HAVING count(*) = 2),
-a AS (SELECT label, list_transform(range(1, 65), lambda i: (CAST(e[1][i] AS DOUBLE) + CAST(e[2][i] AS DOUBLE)) / 2) AS v FROM h)
-SELECT label, CAST(i AS INTEGER) AS col, round((v[i + 1] - list_min(v)) / (list_max(v) - list_min(v)), 6) AS value FROM a, range(64) r(i)""")
+@query("""WITH v AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, range(1, 65) r(i) GROUP BY label, i),
+s AS (SELECT label, i, v, min(v) OVER (PARTITION BY label) AS lo, max(v) OVER (PARTITION BY label) AS hi FROM v)
+SELECT label, CAST(i - 1 AS INTEGER) AS col, round((v - lo) / (hi - lo), 6) AS value FROM s""")
 def attention_heatmap(spark, sf_dir):
-    """The head mean of two one-row heads a label, scaled by its range."""
-    e = table(spark, sf_dir, "embeddings").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("k <= 2")
-    heads = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")))).alias("h")).where(F.size("h") == 2)
+    """The head mean of a layer for each label, every vector of it taken as a one-row head, scaled by its range."""
+    heads = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")))).alias("h"))
     maps = steps.heatmap(heads.select("label", F.lit(0).alias("layer"), F.transform("h", lambda x: F.array(x["v"])).alias("heads")), ["label"])
     return maps.select("label", "col", F.round("value", 6).alias("value"))
 
@@ -388,3 +389,7 @@ def attention_heatmap(spark, sf_dir):
 @query("SELECT o_orderkey AS sample_id, concat('What is ', o_orderkey, '?', chr(10), 'Please reason step by step, and put your final answer within ', chr(92), 'boxed{}.') AS prompt FROM orders")
 def user_prompts(spark, sf_dir):
     return traces(spark, sf_dir).select("sample_id", T.user_prompt(F.col("question")).alias("prompt"))
+
+
+# the other modules register theirs with ``query``
+from . import file_queries, step_queries  # noqa: E402, F401
