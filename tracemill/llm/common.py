@@ -35,6 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What this process has written to the shared folder and not deleted yet.
 _scratch: list[str] = []
 
@@ -47,10 +48,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. Its shuffle files go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

@@ -395,7 +395,6 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, per_shard: int =
     if documents > quarter:
         hot[vocabulary] = -(-documents // quarter)
     drop_scratch(first_pass)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the first pass
     hot_ids = np.array(sorted(hot), np.int64)
     splits = Splits(shards, hot_ids, np.array([min(shards, hot[i]) for i in hot_ids.tolist()], np.int64))
     span = max(1, -(-(vocabulary + 1) // shards))
@@ -476,7 +475,6 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, per_shard: int =
     for k in range(order, 1, -1):
         written = materialize(_deal(level, shards).mapInArrow(sum_grams(k), _ROWS), f"lm-{k}")
         drop_scratch(level)
-        spark.sparkContext._jvm.System.gc()
         done = {r["shard"]: r for r in written.where("kind = 'sizes'").select("shard", "a", "b", "c", "d").collect()}
         discounts[k] = _discounts([sum(r[c] for r in done.values()) for c in "abcd"])
         if vocabulary:
