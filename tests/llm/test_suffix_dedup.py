@@ -57,6 +57,14 @@ def test_against_brute_force(spark, seed):
     assert run(spark, rows, bucket_bytes=5000) == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [0, 4])
+def test_weak_stretch_hashes_are_found_out(spark, monkeypatch, bits):
+    """With hashes that agree for unlike stretches nothing is removed that is not repeated, and nothing repeated stays."""
+    monkeypatch.setattr(D, "FLUSH_BYTES", 2000)
+    rows = sample(7)
+    assert run(spark, rows, bucket_bytes=5000, stretch_bits=bits) == brute(rows)
+
+
 def test_hot_grams(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_RUNS", 3)
     rows = sample(3)
@@ -80,6 +88,8 @@ def test_repeated_rows_and_empty_table(spark):
     want = brute([(1, text), (2, text)])
     assert sorted((r["doc_id"], *r[1:]) for r in got) == sorted((i, *want[i]) for i in (1, 1, 2))
     assert D.remove_repeats(spark.createDataFrame([], "doc_id long, text string, h string, key int")).collect() == []
+    clash = spark.createDataFrame([(1, text, "a", 3, "k", b"b"), (2, text, None, None, None, None)], "doc_id long, text string, h string, key int, kind string, body binary")
+    assert sorted((r["doc_id"], *r[1:]) for r in D.remove_repeats(clash, digest=True).collect()) == sorted((i, *want[i]) for i in (1, 2))
 
 
 def test_collisions_are_verified(monkeypatch):

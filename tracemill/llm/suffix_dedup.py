@@ -6,32 +6,39 @@ earlier start) is removed. Matches do not cross texts and are judged on the inpu
 1. Anchors. Each window of a text has a minimizer: its gram of ``gram`` bytes with the least hash, the
    leftmost of equals. Equal windows have equal minimizers at equal offsets, so only windows that share a minimizer can be
    equal. Consecutive windows with the same minimizer form a run, known by its gram's hash and a hash of its whole stretch of text.
-2. Runs meet by their gram. Of runs with the same stretch only the first can be new; the others are
-   removed whole. Where a gram begins in different stretches, the first run of each stretch is a candidate.
+2. Runs meet by their gram. Of runs with the same stretch only the first can be new: the bytes of the others are
+   compared with its bytes (in the map task, or where the texts meet), and those equal are removed whole. Where a gram begins in different
+   stretches, the first run of each stretch is a candidate.
 3. Suffix sort. The candidates' texts meet by gram. The suffixes at their windows are merge-sorted; a
    comparison finds the common extension by binary search over prefix polynomial hashes, so it takes a number of steps logarithmic in
    the window. Neighbours that agree on a whole window by hash are verified byte by byte; in a class of equals all but the
    first are removed.
 4. The removed stretches return to their texts.
 
+So every removal has been verified on bytes. Should the hashes of two unlike stretches ever agree, all is done again with another hash.
+
 Hot grams: equal runs collapse in each map task already; grams that hold a large share of all runs (found on a sample;
-the list is bounded by the number of partitions) are dealt by gram and stretch instead; and a gram with many stretches is sorted
-in several blocks, split by a hash of the window, which equal windows share. Rows that cross a shuffle are packed arrays.
+the list is bounded by the number of partitions) are dealt by gram and stretch instead; a gram with many stretches is sorted
+in several blocks, split by a hash of the window, which equal windows share; and of a stretch with many copies each block is compared
+with the first by itself. Rows that cross a shuffle are packed arrays; texts go to buckets of about ``bucket_bytes``, a task for each.
 
-Equal stretches in step 2 are told by two independent 64-bit hashes. Ids are cast to long; a null id comes before all others.
-Rows with the same id are ordered by a hash of their text; equal rows are one document and have the same result. A null text is empty.
+Ids are cast to long; a null id comes before all others. Rows with the same id are ordered by a hash of their text; equal rows are one
+document and have the same result. A null text is empty; a very long text is scanned in pieces and makes a bucket of its own; an empty
+table gives no rows; other columns, of whatever names, are not used.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, materialize, mix, raw_text, release_memory, small_batches
+from .common import drop_scratch, extend, materialize, mix, raw_text, release_memory, small_batches
 
 WINDOW, GRAM = 100, 20
 #: Bytes of text whose runs a map task collects before it hands them on, and at most in one scan.
@@ -168,12 +175,13 @@ def unpack(bodies: list[bytes], names: list[str]) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) if v else np.zeros(0, kinds.get(k, np.uint16)) for k, v in out.items()}
 
 
-def deal(part: np.ndarray, parts: int):
-    """The members of each part, for parts that have some."""
+def deal(part: np.ndarray):
+    """The members of each part that has some."""
     order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        yield k, order[cut[k] : cut[k + 1]]
+    p = part[order]
+    edge = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True]) if len(p) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(p[a]), order[a:b]
 
 
 def _rows(rows: list[tuple], names=("kind", "key", "body")) -> pa.RecordBatch:
@@ -293,10 +301,31 @@ def repeated(text: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.ndarr
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = 4 << 20, text: str = "text", id_col: str = "doc_id", digest: bool = False) -> DataFrame:
+def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of ``size`` bytes at a and at b are unlike, byte by byte."""
+    out = np.zeros(len(a), bool)
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 22), "right")))
+        n = size[i:j]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        out[i:j] = np.logical_or.reduceat(data[np.repeat(a[i:j], n) + step] != data[np.repeat(b[i:j], n) + step], first)
+        i = j
+    return out
+
+
+def strong_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of a cryptographic digest of each stretch: for texts made to defeat the polynomial hashes."""
+    raw, key = data.tobytes(), seed.to_bytes(8, "little")
+    return np.array([int.from_bytes(hashlib.blake2b(raw[i : i + n], digest_size=8, key=key).digest(), "little") for i, n in zip(at.tolist(), size.tolist())], np.uint64)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = 4 << 20, text: str = "text", id_col: str = "doc_id", digest: bool = False, stretch_bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, and the kept text or its digest) of every row.
 
-    The kept bytes may split characters: ``kept`` is binary.
+    The kept bytes may split characters: ``kept`` is binary. ``stretch_bits`` weakens the first try's stretch hashes, for tests.
     """
     spark = docs.sparkSession
     small_batches(spark, 200)
@@ -308,20 +337,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     buckets = max(8, -(-total // bucket_bytes))
     heavy = _heavy_grams(rows, window, gram, parts)
 
-    def collect(batches):
-        held, ids, hs, n_docs, n_bytes = [], [], [], 0, 0
+    def collect(batches, seed):
+        held, ids, hs, texts, n_docs, n_bytes = [], [], [], [], 0, 0
 
         def flush():
             doc, start, n, g, s = [np.concatenate(c) for c in zip(*held)]
             own, hash_ = np.concatenate(ids), np.concatenate(hs)
+            data = np.concatenate([d for d, _ in texts])
+            base = np.cumsum([0] + [len(d) for d, _ in texts[:-1]])
+            at = np.concatenate([o[:-1] + b for (_, o), b in zip(texts, base)])[doc] + start
+            if seed:
+                s = strong_hashes(data, at, n + window - 1, seed)
+            elif stretch_bits < 64:
+                s = s & np.uint64((1 << stretch_bits) - 1)
             order = np.lexsort((start, hash_[doc], own[doc], s, g))
             order = order[_first_of_group(order, g, s, own[doc], hash_[doc], start)]  # equal rows are one document
             new = _first_of_group(order, g, s)
-            first, copies = order[new], order[~new]
+            # copies are verified on their bytes; one that only seems equal stays a run of its own
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+            same = ~new & (n[order] == n[lead])
+            check = np.flatnonzero(same)
+            same[check] = ~differ(data, at[order[check]], at[lead[check]], n[order[check]] + window - 1)
+            first, copies = order[~same], order[same]
             part = np.where(np.isin(g[first], heavy[0]), mix(g[first] ^ s[first]), g[first]) % np.uint64(parts)
-            out = [("runs", k, pack(own, hash_, doc[first[m]], g=g[first[m]], s=s[first[m]], start=start[first[m]].astype(np.uint32), n=n[first[m]].astype(np.uint8))) for k, m in deal(part, parts)]
+            out = [("runs", k, pack(own, hash_, doc[first[m]], g=g[first[m]], s=s[first[m]], start=start[first[m]].astype(np.uint32), n=n[first[m]].astype(np.uint8))) for k, m in deal(part)]
             back = _bucket(own[doc[copies]], hash_[doc[copies]], parts)
-            out += [("gone", k, pack(own, hash_, doc[copies[m]], start=start[copies[m]].astype(np.uint32), n=n[copies[m]].astype(np.uint32))) for k, m in deal(back, parts)]
+            out += [("gone", k, pack(own, hash_, doc[copies[m]], start=start[copies[m]].astype(np.uint32), n=n[copies[m]].astype(np.uint32))) for k, m in deal(back)]
             release_memory()
             return _rows(out)
 
@@ -331,10 +372,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
             held.append([r + n_docs, s, n, g, h])
             ids.append(_ids(batch.column("doc_id")))
             hs.append(batch.column("h").to_numpy().view(np.uint64))
+            texts.append((data, offs))
             n_docs, n_bytes = n_docs + batch.num_rows, n_bytes + len(data)
             if n_bytes >= FLUSH_BYTES:
                 yield flush()
-                held, ids, hs, n_docs, n_bytes = [], [], [], 0, 0
+                held, ids, hs, texts, n_docs, n_bytes = [], [], [], [], 0, 0
         if held:
             yield flush()
 
@@ -349,7 +391,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
         order = np.lexsort((x["start"], x["h"], x["id"], x["s"], x["g"]))
         order = order[_first_of_group(order, x["g"], x["s"], x["id"], x["h"], x["start"])]
         new = _first_of_group(order, x["g"], x["s"])
-        copies, first = order[~new], order[new]
+        first = order[new]
+        # classes of one stretch: the copies in blocks, the first with each block
+        members = np.diff(np.r_[np.flatnonzero(new), len(order)])
+        blocks = -(-(members - 1) // BLOCK_RUNS)
+        copies = order[~new]
+        cls = (np.cumsum(new) - 1)[~new]
+        in_block = (mix(x["id"][copies].astype(np.uint64) * _BASES[1] + x["h"][copies] + x["start"][copies]) % np.maximum(blocks[cls], 1).astype(np.uint64)).astype(np.uint64)
+        leads = np.repeat(first, blocks)
+        of_lead = np.arange(len(leads)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        who = np.r_[leads, copies]
+        sub = np.r_[of_lead.astype(np.uint64), in_block]
+        meeting = mix(mix(x["s"][who] + x["g"][who] * _BASES[1]) + sub)
+        is_lead = np.r_[np.ones(len(leads), np.uint8), np.zeros(len(copies), np.uint8)]
         fresh = _first_of_group(first, x["g"])
         stretches = np.diff(np.r_[np.flatnonzero(fresh), len(first)])
         of_run = np.repeat(stretches, stretches)
@@ -358,28 +412,34 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
         of_run = np.where(heavy[0][at] == x["g"][first], heavy[1][at], of_run) if len(heavy[0]) else of_run
         cand = first[of_run > 1]
         split = np.minimum(-(-of_run[of_run > 1] // BLOCK_RUNS), 60_000).astype(np.uint16)
-        start = np.concatenate([gone["start"], x["start"][copies]])
-        n = np.concatenate([gone["n"], x["n"][copies].astype(np.uint32)])
-        ids, hs = np.concatenate([gone["id"], x["id"][copies]]), np.concatenate([gone["h"], x["h"][copies]])
-        out = [("gone", k, pack(ids, hs, m, start=start[m].astype(np.uint32), n=n[m].astype(np.uint32))) for k, m in deal(_bucket(ids, hs, buckets), buckets)]
+        out = [("gone", k, pack(gone["id"], gone["h"], m, start=gone["start"][m], n=gone["n"][m].astype(np.uint32))) for k, m in deal(_bucket(gone["id"], gone["h"], buckets))]
         b = _bucket(x["id"][cand], x["h"][cand], buckets)
-        out += [("look", k, pack(x["id"], x["h"], cand[m], g=x["g"][cand[m]], start=x["start"][cand[m]], n=x["n"][cand[m]], split=split[m])) for k, m in deal(b, buckets)]
+        out += [("look", k, pack(x["id"], x["h"], cand[m], g=x["g"][cand[m]], start=x["start"][cand[m]], n=x["n"][cand[m]], split=split[m])) for k, m in deal(b)]
+        b = _bucket(x["id"][who], x["h"][who], buckets)
+        out += [("same", k, pack(x["id"], x["h"], who[m], g=meeting[m], start=x["start"][who[m]], n=x["n"][who[m]], lead=is_lead[m])) for k, m in deal(b)]
         if out:
             yield _rows(out)
 
-    runs = rows.mapInArrow(collect, "kind string, key int, body binary")
-    met = materialize(runs.repartition(parts, "key").mapInArrow(meet, "kind string, key int, body binary"), "suffix-runs")
-
     def place(batches):
         for batch in batches:
             key = _bucket(_ids(batch.column("doc_id")), batch.column("h").to_numpy().view(np.uint64), buckets)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.astype(np.int32))], names=[*batch.schema.names, "key"])
 
-    placed = rows.mapInArrow(place, extend(rows.schema, "key int"))
+    placed = rows.mapInArrow(place, extend(rows.schema, "key int")).repartition(buckets, "key")
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The texts of candidate runs, dealt to blocks by gram (and window, for a gram of many stretches)."""
-        x = unpack(right.column("body").to_pylist(), ["g", "start", "n", "split"])
+        """The texts of candidate runs, dealt to blocks by gram (and window, for a gram of many stretches), and of copies, by stretch."""
+        kinds = right.column("kind").to_pylist()
+        bodies = right.column("body").to_pylist()
+        y = unpack([b for k, b in zip(kinds, bodies) if k == "same"], ["g", "start", "n", "lead"])
+        where, data, offs = _locate(left, y)
+        at, size, out = offs[where] + y["start"].astype(np.int64), y["n"].astype(np.int64) + window - 1, []
+        for k, m in deal((mix(y["g"]) % np.uint64(buckets)).astype(np.int64)):
+            n = size[m]
+            pick = np.repeat(at[m] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            packed = pack(y["id"], y["h"], m, g=y["g"][m], start=y["start"][m], n=y["n"][m], lead=y["lead"][m])
+            out.append(("same", k, np.array([len(packed)], np.int64).tobytes() + packed + data[pick].tobytes()))
+        x = unpack([b for k, b in zip(kinds, bodies) if k == "look"], ["g", "start", "n", "split"])
         where, data, offs = _locate(left, x)
         ids, hs, g = x["id"], x["h"], x["g"]
         a, n, split = offs[where] + x["start"].astype(np.int64), x["n"].astype(np.int64), x["split"].astype(np.int64)
@@ -394,26 +454,51 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
             salt = mix(w) % split[own].astype(np.uint64)
             owner.append(own), first.append(j), count.append(np.ones(len(own), np.int64)), key.append(mix(g[own] + salt * _BASES[1] + np.uint64(1)))
         owner, first, count, key = (np.concatenate(c) for c in (owner, first, count, key))
-        out = []
-        for k, m in deal((mix(key) % np.uint64(buckets)).astype(np.int64), buckets):
+        for k, m in deal((mix(key) % np.uint64(buckets)).astype(np.int64)):
             lo, size = a[owner[m]] + first[m], count[m] + window - 1
             pick = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
             packed = pack(ids, hs, owner[m], g=key[m], start=(x["start"][owner[m]] + first[m]).astype(np.uint32), n=count[m].astype(np.uint8))
-            out.append((k, np.array([len(packed)], np.int64).tobytes() + packed + data[pick].tobytes()))
-        return pa.Table.from_batches([_rows(out, ("key", "body"))])
+            out.append(("look", k, np.array([len(packed)], np.int64).tobytes() + packed + data[pick].tobytes()))
+        return pa.Table.from_batches([_rows(out)])
 
-    def sort(batches):
-        bodies = [b for batch in batches for b in batch.column("body").to_pylist()]
-        if not bodies:
-            return
+    def opened(bodies, names):
         heads, texts = [], []
         while bodies:
             b = bodies.pop()
             n = int(np.frombuffer(b, np.int64, 1)[0])
             heads.append(b[8 : 8 + n])
             texts.append(b[8 + n :])
-        x, data = unpack(heads, ["g", "start", "n"]), np.frombuffer(b"".join(texts), np.uint8)
-        del heads, texts
+        return unpack(heads, names), np.frombuffer(b"".join(texts), np.uint8)
+
+    def removed(x, own, start, n):
+        return [("gone", k, pack(x["id"], x["h"], own[m], start=start[m].astype(np.uint32), n=n[m].astype(np.uint32))) for k, m in deal(_bucket(x["id"][own], x["h"][own], buckets))]
+
+    def sort(batches):
+        bodies = {"same": [], "look": []}
+        for batch in batches:
+            for kind, b in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist()):
+                bodies[kind].append(b)
+        if bodies["same"]:
+            yield compare(*opened(bodies.pop("same"), ["g", "start", "n", "lead"]))
+        if bodies["look"]:
+            yield from sort_blocks(*opened(bodies.pop("look"), ["g", "start", "n"]))
+
+    def compare(x, data):
+        """Copies against the first of their stretch, on the bytes."""
+        n = x["n"].astype(np.int64)
+        size = n + window - 1
+        at = np.cumsum(size) - size
+        order = np.lexsort((1 - x["lead"].astype(np.int8), x["g"]))
+        new = _first_of_group(order, x["g"])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        copy, lead = order[~new], lead[~new]
+        clash = n[copy] != n[lead]
+        fine = np.flatnonzero(~clash)
+        clash[fine] = differ(data, at[copy[fine]], at[lead[fine]], size[copy[fine]])
+        own = copy[~clash].astype(np.int64)
+        return _rows(removed(x, own, x["start"][own], n[own]) + ([("clash", 0, b"")] if clash.any() else []))
+
+    def sort_blocks(x, data):
         n = x["n"].astype(np.int64)
         size = n + window - 1
         lo = np.cumsum(size) - size
@@ -438,12 +523,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
             i = j
         release_memory()
         own, start = (np.concatenate(c) for c in zip(*out))
-        yield _rows([(k, pack(x["id"], x["h"], own[m], start=start[m].astype(np.uint32), n=np.ones(len(m), np.uint32))) for k, m in deal(_bucket(x["id"][own], x["h"][own], buckets), buckets)], ("key", "body"))
-
-    look = met.where("kind = 'look'").select("key", "body")
-    blocks = placed.groupBy("key").cogroup(look.groupBy("key")).applyInArrow(fetch, "key int, body binary")
-    late = blocks.repartition(parts, "key").mapInArrow(sort, "key int, body binary")
-    gone = met.where("kind = 'gone'").select("key", "body").unionByName(late)
+        yield _rows(removed(x, own, start, np.ones(len(own), np.uint32)))
+
+    ddl = "kind string, key int, body binary"
+    for seed in count():
+        runs = rows.mapInArrow(partial(collect, seed=seed), ddl)
+        met = materialize(runs.repartition(parts, "key").mapInArrow(meet, ddl), "suffix-runs")
+        blocks = placed.groupBy("key").cogroup(met.where("kind <> 'gone'").groupBy("key")).applyInArrow(fetch, ddl)
+        late = materialize(blocks.repartition(buckets, "key").mapInArrow(sort, ddl), "suffix-late")
+        if late.where("kind = 'clash'").isEmpty():
+            break
+        drop_scratch(met, late)
+    gone = met.where("kind = 'gone'").select("key", "body").unionByName(late.select("key", "body"))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         x = unpack(right.column("body").to_pylist(), ["start", "n"])
