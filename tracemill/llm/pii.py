@@ -1,20 +1,24 @@
 """Personal data: format rules, and information-theoretic sanitisation of what reveals it, in Spark's own functions.
 
-The format rules find the protected entities (addresses, cards, phones). Terms close to an entity are then
-weighed by what the corpus shows: with df counted over distinct texts and N of them,
+The format rules find the protected entities (addresses, cards, phones). The other words of the texts that hold an entity are
+weighed by what the corpus shows: with N documents, and df the number of them that hold something,
 
     IC(e) = log2(N / df(e)),   PMI(e, t) = log2(N * df(e, t) / (df(e) * df(t))),
 
-t discloses the share PMI / IC of e. A term that does so beyond ``threshold``, in at least ``support``
-distinct texts, is a disclosing term: beside that entity it is a span of its own (kind ``term``), and ``sanitize``
-generalises it. Counting distinct texts keeps mere copies from looking like evidence.
+a term t discloses the share PMI / IC of what identifies e. A term that does so beyond ``threshold`` is a disclosing term, unless chance
+explains it: were t independent of e, that many of its documents would hold e with a probability of at most
+exp(-df(t) * KL(df(e,t)/df(t) || df(e)/N)) (Chernoff's bound), which must be ``significance`` or less. So a word found only beside a
+rare entity counts, one that a common entity's documents hold by the way does not. In documents with that entity the term is
+a span of its own (kind ``term``), and ``sanitize`` generalises it to its kind.
 
-Counts run over all documents, but only for terms that stand beside one entity often enough; rows are
-(entity, term) and (term, text hash) pairs, aggregated before and after the shuffle, so a hot entity or term is a
-few rows. Texts never move.
+All counts run over all documents and whole texts; there is no window and no least support. Only words of documents with an entity are
+paired, with every class of entities that stand in the same documents, and only up to the df that the threshold allows at
+all: df(t) <= N^(1-threshold) * df(e)^threshold, an exact bound. Texts never move: rows are hashes of entities, terms and texts, aggregated
+before and after the shuffle, so a hot entity or term is a few rows.
 
-Defined cases: a null text is empty; rows with null or repeated ids are told apart by a hash of their text, equal rows have
-equal results and keep their number; an empty table gives no rows.
+Defined cases: a null text is empty; a very long text is one document like any other; ties at the threshold disclose; rows with null or
+repeated ids are told apart by a hash of their text, equal rows count each, have equal results and keep their number; an empty table
+gives no rows; columns other than id and text, of whatever names, pass through ``sanitize`` and are not used otherwise.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import materialize
+from .common import drop_scratch, materialize
 
 # The base kinds and their formats. A start inside a run that has already failed cannot succeed, so runs are
 # entered at their first character only (or where the last match ended) and never given back.
@@ -36,6 +40,7 @@ NAMES = [*KINDS, "term"]
 _IP_OK = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 MARKS = "array<struct<s:int,k:int,e:int>>"
 TERM = r"[\p{L}]{3,}"
+_TERMS = "array<struct<t:bigint,s:int,e:int>>"
 
 
 def _digits(m: Column) -> Column:
@@ -63,85 +68,84 @@ def base_spans(text: Column) -> list[Column]:
     return [email, ip, card, phone]
 
 
-def _term_spans(window: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Words of a window of text: (term, s, e) in the text; words that a window's border may have cut are left out."""
-    found = S.find_all(window, TERM)
-    whole = F.filter(found, lambda x: ~(cut_left & (x["s"] == 0)) & ~(cut_right & (x["e"] == F.length(window))))
-    return F.transform(whole, lambda x: F.struct(F.lower(x["m"]).alias("term"), (x["s"] + offset).alias("s"), (x["e"] + offset).alias("e")))
-
-
-def _entities(text: Column, spans: list[Column], reach: int) -> Column:
-    """One struct per entity: its kind and value, and the terms within ``reach`` characters of it."""
-
+def _marks(spans: list[Column]) -> Column:
     def one(k):
-        def build(x):
-            left_at = F.greatest(F.lit(0), x["s"] - reach)
-            left = F.substr(text, left_at + 1, x["s"] - left_at)
-            right = F.substr(text, x["e"] + 1, F.lit(reach))
-            terms = F.concat(_term_spans(left, left_at, left_at > 0, F.lit(False)), _term_spans(right, x["e"], F.lit(False), F.length(right) == reach))
-            return F.struct(F.concat(F.lit(f"{KINDS[k]}:"), F.lower(x["m"])).alias("entity"), terms.alias("terms"))
-
-        return build
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
 
     return F.concat(*[F.transform(c, one(k)) for k, c in enumerate(spans)])
 
 
-def _marks(spans: list[Column]) -> Column:
-    def one(k):
-        return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
+def _named(kind: str):
+    return lambda x: F.xxhash64(F.concat(F.lit(f"{kind}:"), F.lower(x["m"])))
 
-    return F.concat(*[F.transform(c, one(k)) for k, c in enumerate(spans)])
 
+def _terms(text: str) -> Column:
+    """The hashes of the distinct words of a text."""
+    words = F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-def _words(text: str) -> Column:
-    """The distinct terms of a text."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
 
+def _placed_terms(text: str, marks: Column) -> Column:
+    """(hash, s, e) of every word of a text but those that begin inside an entity."""
+    found = F.transform(S.find_all(F.col(text), TERM), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    return F.transform(S.outside(found, marks), lambda x: F.struct(F.xxhash64(F.lower(x["m"])).alias("t"), x["s"].alias("s"), x["e"].alias("e")))
 
-def _share(total: int, both: str, entity: str, term: str) -> Column:
+
+def disclosure(total: int, both: Column, entity: Column, term: Column) -> Column:
     """The share of the entity's information that the term discloses, PMI / IC."""
     n = F.lit(float(total))
-    return F.log2(n * F.col(both) / (F.col(entity) * F.col(term))) / F.log2(n / F.col(entity))
+    return F.log2(n * both / (entity * term)) / F.log2(n / entity)
+
+
+def chance(total: int, both: Column, entity: Column, term: Column) -> Column:
+    """A bound on the probability that an independent term is found with the entity so often."""
+    a, p = both / term, entity / F.lit(float(total))
+    rest = F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - p))).otherwise(F.lit(0.0))
+    return F.exp(-term * (a * F.log(a / p) + rest))
 
 
-def find_personal(docs: DataFrame, threshold: float = 0.7, support: int = 4, reach: int = 60, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def find_personal(docs: DataFrame, threshold: float = 0.9, significance: float = 0.01, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, h, marks) of every row; marks holds (start, index in NAMES, end), terms included."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     spans = rows.select("id", F.xxhash64("t").alias("h"), "t", *[c.alias(k) for k, c in zip(KINDS, base_spans(F.col("t")))])
-    cols = [F.col(k) for k in KINDS]
-    some = (F.size("email") > 0) | (F.size("ip") > 0) | (F.size("card") > 0) | (F.size("phone") > 0)
-    near = F.when(some, _entities(F.col("t"), cols, reach)).otherwise(F.array().cast("array<struct<entity:string,terms:array<struct<term:string,s:int,e:int>>>>"))
-    vocabulary = F.when(some, _words("t")).otherwise(F.array().cast("array<string>"))
-    base = materialize(spans.select("id", "h", _marks(cols).alias("marks"), near.alias("near"), vocabulary.alias("vocabulary")), "pii-base")
-
-    beside = base.where(F.size("near") > 0).select("id", "h", F.explode("near").alias("x")).select("id", "h", "x.entity", F.explode("x.terms").alias("y")).select("id", "h", "entity", "y.*")
-    total = base.select("h").distinct().count()
-    of_entity = base.where(F.size("near") > 0).select("h", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = beside.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = materialize(pairs.join(of_entity, "entity").where(F.col("n_e") < total), "pii-pairs")
-    if pairs.isEmpty():
-        return base.select("id", "h", "marks")
-    # a term is in at least as many texts as those with an entity that hold it: common words fall to that bound before all words are counted
-    named = pairs.select(F.col("term").alias("wanted")).distinct()
-    within = base.where(F.size("near") > 0).select("h", F.explode("vocabulary").alias("word")).join(named, F.col("word") == F.col("wanted"), "left_semi")
-    at_least = within.distinct().groupBy(F.col("word").alias("t0")).agg(F.count("*").alias("n_b"))
-    pairs = pairs.join(at_least, F.col("term") == F.col("t0")).where(_share(total, "n_et", "n_e", "n_b") >= threshold).select("entity", "term", "n_et", "n_e")
-    pairs = materialize(pairs, "pii-likely")
-    if pairs.isEmpty():
-        return base.select("id", "h", "marks")
-    wanted = pairs.select(F.col("term").alias("wanted")).distinct()
-    words = rows.select(F.xxhash64("t").alias("h"), F.explode(_words("t")).alias("word"))
-    of_term = words.join(wanted, F.col("word") == F.col("wanted"), "left_semi").distinct().groupBy("word").agg(F.count("*").alias("n_t"))
-    telling = pairs.join(of_term, F.col("term") == F.col("word")).where(_share(total, "n_et", "n_e", "n_t") >= threshold).select(F.col("entity").alias("e2"), F.col("term").alias("t2"))
-    telling = materialize(telling, "pii-telling")
-    if telling.isEmpty():
-        return base.select("id", "h", "marks")
+    named = F.concat(*[F.transform(k, _named(k)) for k in KINDS])
+    marked = spans.select("id", "h", "t", _marks([F.col(k) for k in KINDS]).alias("marks"), F.array_distinct(named).alias("entities"))
+    some = F.size("marks") > 0
+    words = F.when(some, _placed_terms("t", F.col("marks"))).otherwise(F.array().cast(_TERMS))
+    base = materialize(marked.select("id", "h", "marks", "entities", words.alias("words")), "pii-base")
+    out = base.select("id", "h", "marks")
+
+    held = base.where(F.size("marks") > 0).groupBy("h").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    held = materialize(held, "pii-held")
+    total = base.count()
+    entity = held.select("h", "m", F.explode("entities").alias("entity")).groupBy("entity")
+    # entities that stand in the same texts are one class: what a term tells of one it tells of all
+    entity = entity.agg(F.sum("m").alias("n_e"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(2))).alias("y")).where(F.col("n_e") < total)
+    entity = entity.select("entity", "n_e", F.xxhash64("n_e", "x", "y").alias("c"))
+    classes = held.select("h", "m", F.explode("entities").alias("entity")).join(entity, "entity").groupBy("h", "c").agg(F.first("m").alias("m"), F.first("n_e").alias("n_e"))
+    classes = materialize(classes, "pii-classes")
+    if classes.isEmpty():
+        return out
+    terms = held.select("h", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t"))
+    # a term is in at least as many documents as those with an entity that hold it: common words fall to that bound before they are paired
+    most = F.pow(F.lit(float(total)), F.lit(1 - threshold)) * F.pow(F.col("n_e"), F.lit(threshold)) * (1 + 1e-9)
+    top = classes.agg(F.max(most)).first()[0]
+    wanted = terms.join(held.select("h", "m"), "h").groupBy("t").agg(F.sum("m").alias("n_b")).where(F.col("n_b") <= top).select("t")
+    counts = rows.select(F.explode(_terms("t")).alias("w")).groupBy("w").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= top)
+    known = materialize(wanted.join(counts, F.col("t") == F.col("w")).select("t", "n_t"), "pii-terms")
+    placed = terms.join(known, "t").select(F.col("h").alias("h2"), "t", "n_t")
+    pairs = classes.join(placed, (F.col("h") == F.col("h2")) & (F.col("n_t") <= most)).select("h", "m", "c", "n_e", "t", "n_t")
+    pairs = materialize(pairs, "pii-pairs")
+    both = pairs.groupBy("c", "t").agg(F.sum("m").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    n = [F.col(k).cast("double") for k in ("n_et", "n_e", "n_t")]
+    telling = both.where((disclosure(total, *n) >= threshold * (1 - 1e-12)) & (chance(total, *n) <= significance)).select("c", "t")
+    found = materialize(pairs.join(telling, ["c", "t"], "left_semi").select("h", "t").distinct(), "pii-telling")
     k = len(KINDS)
-    extra = beside.join(telling, (F.col("entity") == F.col("e2")) & (F.col("term") == F.col("t2"))).select("id", "h", F.struct("s", F.lit(k).alias("k"), "e").alias("mark")).distinct()
-    extra = extra.groupBy(F.col("id").alias("xid"), F.col("h").alias("xh")).agg(F.sort_array(F.collect_list("mark")).alias("terms"))
-    joined = base.join(extra, F.col("id").eqNullSafe(F.col("xid")) & (F.col("h") == F.col("xh")), "left")
-    return joined.select("id", "h", F.concat("marks", F.coalesce("terms", F.array().cast(MARKS))).alias("marks"))
+    extra = held.select("h", F.explode("words").alias("x")).select("h", "x.*").join(found, ["h", "t"], "left_semi")
+    extra = extra.groupBy(F.col("h").alias("xh")).agg(F.sort_array(F.collect_list(F.struct("s", F.lit(k).alias("k"), "e"))).alias("terms"))
+    extra = materialize(extra, "pii-marks")
+    drop_scratch(held, classes, known, pairs, found)
+    return out.join(extra, F.col("h") == F.col("xh"), "left").select("id", "h", F.concat("marks", F.coalesce("terms", F.array().cast(MARKS))).alias("marks"))
 
 
 def sanitize(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

@@ -122,29 +122,38 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-def _spans_sql(rules) -> str:
-    """DuckDB SQL: a table m(doc_id, k, s, e) of the rules' matches, from the stretches between matches."""
-    parts = []
-    for k, r in enumerate(rules):
-        pattern = r.pattern.replace("'", "''")
-        parts.append(f"""SELECT doc_id, {k} AS k, unnest(list_transform(range(1, len(h) + 1), lambda i: {{'s': list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0), 'm': h[i]}})) AS x
-  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS h, regexp_split_to_array(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}'))
-  WHERE len(h) > 0""")
-    keep = " ".join(f"WHEN k = {k} THEN length(regexp_extract(x.m, '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.group})) >= {r.least}" for k, r in enumerate(rules))
-    union = "\nUNION ALL\n".join(parts)
-    return f"""d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-a AS ({union}),
-m AS (SELECT doc_id, k, CAST(x.s AS BIGINT) AS s, CAST(x.s AS BIGINT) + length(x.m) AS e FROM a WHERE CASE {keep} END)"""
+
+# The contract's rules for SQL, spelled out by themselves: kind, regex, group and length that a match must have. Then the method's further rules.
+_ANY_CASE = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_SECRET_KINDS = [
+    ("assign", _ANY_CASE + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("google", "AIza[0-9A-Za-z_-]{35}", 0, 39),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+]
 
 
 def _secrets_sql() -> str:
-    rules = secret_scan.RULES
-    names = ", ".join(f"'{r.kind}'" for r in rules)
-    return f"""WITH {_spans_sql(rules)},
-g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(secret_scan.BASE))},
-  string_agg([{names}][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < {len(secret_scan.BASE)}) AS base,
-  string_agg([{names}][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM m GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    """Each kind's matches are put between two marks; the pieces between the first marks tell where they stand."""
+    parts = []
+    for k, (_, pattern, group, least) in enumerate(_SECRET_KINDS):
+        p = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS k, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM (
+  SELECT doc_id, split_part(p[i], chr(2), 1) AS m, list_sum(list_transform(p[:i - 1], lambda x: length(x))) - (i - 2) AS s
+  FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, '{p}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS p FROM d)))
+  WHERE length(regexp_extract(m, '{p}', {group})) >= {least}""")
+    names = "[" + ", ".join(f"'{kind}'" for kind, *_ in _SECRET_KINDS) + "]"
+    union = "\nUNION ALL\n".join(parts)
+    counted = ("assign", "access", "hex")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({union}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind in enumerate(counted))},
+  string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM m GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind in counted)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN g USING (doc_id)"""
 
 

@@ -72,6 +72,29 @@ def digest_text(marks: Column, names: list[str], by_start: bool) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat(F.element_at(name, x["k"] + 1), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
 
 
+def outside(words: Column, marks: Column) -> Column:
+    """The spans (s, e, m) that do not begin inside a mark (s, k, e)."""
+    item = lambda s, k, e, m: F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"), m.alias("m"))
+    items = F.array_sort(F.concat(F.transform(marks, lambda x: item(x["s"], 0, x["e"], F.lit(""))), F.transform(words, lambda x: item(x["s"], 1, x["e"], x["m"]))))
+
+    def scan(block: Column, reached: Column) -> Column:
+        init = F.struct(reached.alias("at"), none().alias("out"))
+
+        def step(acc, x):
+            free = (x["k"] == 1) & (x["s"] >= acc["at"])
+            one = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+            return F.struct(F.when(x["k"] == 0, F.greatest(acc["at"], x["e"])).otherwise(acc["at"]).alias("at"), F.when(free, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, init, step, lambda acc: acc["out"])
+
+    def all_of(blocks: Column) -> Column:
+        furthest = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: F.when(x["k"] == 0, x["e"]).otherwise(0))))
+        starts = let(furthest, lambda t: _running(t, F.lit(0), lambda a, x: F.greatest(a, x)))
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: scan(b, at)))
+
+    return let(let(items, _blocks), all_of)
+
+
 _STRETCHES = "array<struct<s:int,k:int,e:int,at:int>>"
 
 
