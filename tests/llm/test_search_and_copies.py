@@ -140,7 +140,7 @@ def test_top_k(spark):
     rows += [(500, None), (501, []), (502, [1.0, None] + [0.0] * 6), (550, [float("nan")] * 8), (504, [float("inf")] * 8), (None, [9.0] * 8), (600, [0.0] * 8), (650, [-3.0] * 8), (700, [2.0] * 4)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    for blocks in ({}, {"query_block": 3, "candidate_block": 50}):
+    for blocks in ({}, {"query_block": 3, "candidate_block": 50, "growth": 2}, {"candidate_block": 100}):
         assert sorted(tuple(r) for r in topk.top_k(df, lambda i: i % 50 == 0, **blocks).collect()) == brute_top(rows)
     few = df.where("vec_id in (0, 1, 2)")
     assert topk.top_k(few, lambda i: i % 50 == 0).count() == 2
@@ -161,6 +161,24 @@ def test_block_top_prunes_nothing_it_should_keep(seed):
         assert i[row == k].tolist() == want.tolist() and s[row == k].tolist() == scores[want].tolist()
 
 
+def test_products_are_computed_for_kept_pairs_only():
+    rng = np.random.default_rng(7)
+    c = np.floor(rng.normal(size=(4096, 16)) * rng.choice([1, 10, 100, 1000], (4096, 1)))
+    q, ids, counted = c[::64], np.arange(4096), []
+    topk.block_top(ids[::64], q, ids, c, 5, bucket=256, counted=counted)
+    assert counted[0] < 0.25 * len(q) * len(c)  # length and coordinates rule out the rest
+    # a score to beat from longer blocks rules out more, in the first bucket too
+    best = np.array([np.sort((c @ v).astype(np.int64))[-1] for v in q], float)
+    row, i, s = topk.block_top(ids[::64], q, ids, c, 5, bucket=256, least=best, counted=counted)
+    assert counted[1] < counted[0] and (s >= best[row]).all()
+    assert topk.block_top(ids[::64], q, ids, c, 5, least=best + 1e9, counted=counted)[0].tolist() == [] and counted[2] < counted[1]
+
+
+def test_length_blocks():
+    made = topk.length_blocks([(5, 10), (9, 3), (8, 3), (7, 25), (topk.ZERO, 1)], 10)
+    assert made == [(9, 0, 1), (8, 0, 1), (7, 1, 3), (5, 4, 1), (topk.ZERO, 5, 1)]
+
+
 def test_large_products_are_exact():
     q, c = np.array([[2.0**31, 1.0]]), np.array([[2.0**31, 3.0], [2.0**31, 4.0]])
     assert topk._exact(q, c).tolist() == [[2**62 + 3, 2**62 + 4]]

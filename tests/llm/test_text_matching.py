@@ -7,12 +7,15 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontaminate as D
 from tracemill.llm import pii, secrets
 from tracemill.llm import url_filter as U
+from tracemill.llm.common import raw_text
 from tracemill.llm.queries import QUERIES, URL_RULES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,6 +90,20 @@ def test_decontamination(spark, block):
     assert D.match_benchmark(docs.limit(0), bench).collect() == []
 
 
+def test_window_sets_are_small():
+    rng = random.Random(3)
+    items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100))) for i in range(400)]
+    size = sum(len(t) for _, t in items)
+    assert D.WindowSet(items, 10).nbytes() < 9 * size + (1 << 17)
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(D, "window_hashes", lambda words, m: np.zeros(max(0, len(words) - m + 1), np.uint64))
+    data, offs = raw_text(pa.array(["x a b y", "c d", "b a", "a b c d a b"]))
+    _, _, rows, hit, items = D.scan_chunk(data, offs, D.WindowSet([(1, "a b"), (2, "c d"), (3, "a b"), (None, "q r")], 2))
+    assert hit.tolist() == [False, True, True, False] + [True] * 2 + [False] * 2 + [True] * 6 and items == {0: {1, 3}, 1: {2}, 3: {1, 2, 3}}
+
+
 SECRETS = [
     "token = 'abcdef'", "PassWord:abc", "api_key=\"Zz+/_.=-9\"", "apikey:12345 token=token=abcdefgh", "AKIA" + "A1" * 8, "AKIAAKIA" + "B" * 12, "AKIASHORT", "é\U0001F600 " + "0f" * 12 + " x", "0f" * 11 + "0",
     "", None, "secret" + " " * 500 + "=" + " " * 9 + "zzzzzz", "a" * 20000, "ghp_" + "x" * 36, "-----BEGIN RSA PRIVATE KEY-----", "ſecret=abcdef Kpasswd=abcdef", "f" * 40 + " " + "f" * 30, "token token: 'abcdef",

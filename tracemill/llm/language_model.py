@@ -232,7 +232,9 @@ class Model:
         cols = [c[known] for c in cols]
         # of a split two-word context an unknown word's shard does not matter: its sums come from ``hot``
         shard, h = self.splits.shard([*cols[:-1], np.maximum(cols[-1], 0)]), tuple_hash(cols[:-1])
-        order = np.lexsort((cols[-1], h, shard))
+        # by shard, and in it by the leading bits of the context's hash: sorted enough for searches, and one sort
+        lead = max(1, self.splits.shards.bit_length())
+        order = np.argsort((shard.astype(np.uint64) << np.uint64(64 - lead)) | (h >> np.uint64(lead)))
         shard, h, w = shard[order], h[order], cols[-1][order]
         for s in np.unique(shard).tolist():
             a, b = np.searchsorted(shard, [s, s + 1])
@@ -243,7 +245,7 @@ class Model:
         return count, stats
 
     def _in_shard(self, k: int, s: int, h: np.ndarray, w: np.ndarray):
-        """Lookups in one shard, sorted by context hash and word."""
+        """Lookups in one shard, in the order of their contexts' hashes; a context that is looked up several times is mostly in one stretch."""
         get = lambda name: arrays.get(self.folder, f"{name}-{k}-{s}")
         keys, count, stats = get("contexts"), np.zeros(len(h), np.int64), np.zeros((len(h), 4), np.int64)
         if len(keys) == 0:

@@ -1,28 +1,31 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Query blocks meet blocks of candidates. A block's candidates are sorted by length and cut into buckets of similar
-length, longest first. For each bucket and query the score still to beat gives a local cosine threshold;
-queries that cannot reach it skip the bucket. Where the threshold is high, a candidate is dropped if its
-coordinate along the query's largest one lies outside the range the threshold allows (coordinate pruning);
-otherwise candidates too short to reach it are dropped (length pruning). Products of the rest are computed
-exactly, and only the best k of a block leave it.
+The candidates of the whole table are grouped by length: classes of a factor of 2^(1/8), longest first, cut or united to blocks
+of bounded size. Queries meet the blocks in rounds: the longest block, then the next ones, each round several times as many. What a query has
+found is its score to beat from then on: it only meets blocks long enough to hold a better product, and its local cosine
+threshold for a block follows from the block's length. Where that threshold is high, a candidate is dropped if its coordinate along the
+query's largest one lies outside the range the threshold allows (coordinate pruning); otherwise candidates too short to reach it
+are dropped (length pruning). Exact products are computed for the pairs that are left, and only those.
 
 Components are taken as floor(scale * x) in double precision. Pruning compares upper bounds with a margin for rounding and only drops
 what is strictly below the k-th score, so ties are kept and broken by the smaller id.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; vectors of
 other lengths count as padded with zeros; rows with a null id take no part; a repeated candidate row counts
-each time, a repeated query id once (its largest vector in array order); scores beyond 64 bits saturate.
+each time, a repeated query id once (its largest vector in array order); scores beyond 64 bits saturate; an empty table, or one
+without queries, gives no rows; other columns, of whatever names, are not used.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import drop_scratch, materialize
+
 #: Cosine above which coordinate pruning is tried.
 COORDINATE_FROM = 0.3
 
@@ -60,8 +63,9 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(whole(q).dot(whole(c).T), -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, bucket: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best k candidates of a block for each query: (query index, candidate id, score)."""
+def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, bucket: int = 512, least: np.ndarray | None = None, counted: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k candidates of a block for each query, those below ``least`` (a score to beat for each query) left out:
+    (query index, candidate id, score). ``counted`` gets the number of products computed."""
     width = max(q.shape[1], c.shape[1])
     q, c = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, c))
     c_len, q_len = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1))
@@ -70,24 +74,23 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     unit = c / np.maximum(c_len, 1e-300)[:, None]
     q_unit = q / np.maximum(q_len, 1e-300)[:, None]
     focus = np.abs(q_unit).argmax(1)
-    lowest = np.iinfo(np.int64).min
-    top_s = np.full((len(q), k), lowest)
-    top_i = np.full((len(q), k), np.iinfo(np.int64).max)
-    slack = 1e-9
+    lowest, none = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    least = np.full(len(q), -np.inf) if least is None else least
+    top_s, top_i = np.full((len(q), k), lowest), np.full((len(q), k), none)
+    slack, products = 1e-9, 0
     for a in range(0, len(c), bucket):
         b = min(a + bucket, len(c))
         longest = c_len[a]
-        beat = top_s[:, -1]  # a score below it cannot enter
-        full = beat > lowest
-        need = np.where(full, beat.astype(np.float64), -np.inf)
-        live = np.flatnonzero(~full | (need <= q_len * longest * (1 + slack) + slack))
+        own = top_s[:, -1]
+        need = np.maximum(least, np.where(own > lowest, own.astype(np.float64), -np.inf))  # a score below it cannot enter
+        live = np.flatnonzero(need <= q_len * longest * (1 + slack) + slack)
         if len(live) == 0:
-            if full.all() and (need > q_len * longest * (1 + slack) + slack).all() and need.min() >= 0:
+            if (need >= 0).all():
                 break  # later buckets are shorter still
             continue
-        cosine = np.clip(need[live] / np.maximum(q_len[live] * longest, 1e-300), -1, 1)
         keep = np.ones((len(live), b - a), bool)
-        pruned = full[live] & (need[live] > 0)
+        pruned = need[live] > 0
+        cosine = np.clip(need[live] / np.maximum(q_len[live] * longest, 1e-300), -1, 1)
         by_coord = pruned & (cosine >= COORDINATE_FROM)
         for i in np.flatnonzero(by_coord):
             x = q_unit[live[i], focus[live[i]]]
@@ -99,47 +102,108 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
             low = -1.0 if x < -t else x * t - spread
             keep[i] = (at <= high + 1e-9) & (at >= low - 1e-9)
         for i in np.flatnonzero(pruned & ~by_coord):
-            least = need[live[i]] / max(q_len[live[i]], 1e-300) * (1 - slack) - slack
-            keep[i, np.searchsorted(-c_len[a:b], -least, "right") :] = False
-        some = keep.any(0)
-        if not some.any():
-            continue
-        cols = np.flatnonzero(some)
-        scores = _exact(q[live], c[a:b][cols])
-        ids = np.broadcast_to(c_ids[a:b][cols], scores.shape)
-        off = ~keep[:, cols] | (ids == q_ids[live][:, None])
+            short = need[live[i]] / max(q_len[live[i]], 1e-300) * (1 - slack) - slack
+            keep[i, np.searchsorted(-c_len[a:b], -short, "right") :] = False
+        scores = np.full(keep.shape, lowest)
+        whole = np.flatnonzero(keep.all(1))
+        if len(whole):
+            scores[whole] = _exact(q[live[whole]], c[a:b])
+        for i in np.flatnonzero(~keep.all(1) & keep.any(1)):
+            cols = np.flatnonzero(keep[i])
+            scores[i, cols] = _exact(q[live[i] : live[i] + 1], c[a:b][cols])[0]
+        products += int(keep.sum())
+        ids = np.broadcast_to(c_ids[a:b], scores.shape)
+        off = ~keep | (ids == q_ids[live][:, None]) | (scores < least[live][:, None])
         s = np.concatenate([top_s[live], np.where(off, lowest, scores)], 1)
-        i = np.concatenate([top_i[live], np.where(off, np.iinfo(np.int64).max, ids)], 1)
+        i = np.concatenate([top_i[live], np.where(off, none, ids)], 1)
         best = np.lexsort((i, ~s), axis=1)[:, :k]  # ~s sorts from the largest without overflow
         top_s[live], top_i[live] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-    row, rank = np.nonzero(top_i != np.iinfo(np.int64).max)
+    if counted is not None:
+        counted.append(products)
+    row, rank = np.nonzero(top_i != none)
     return row, top_i[row, rank], top_s[row, rank]
 
 
-def top_k(table: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec: str = "embedding", query_block: int = 2048, candidate_block: int = 16384) -> DataFrame:
+#: Length classes a factor of two apart, and the class of a vector of zeros.
+FINE, ZERO = 8, -(1 << 20)
+
+
+def length_class(length) -> Column:
+    """The number of a length's class; 16 thousand classes cover all doubles."""
+    return F.when(length > 0, F.floor(F.log2(length) * FINE)).otherwise(F.lit(ZERO)).cast("int")
+
+
+def length_blocks(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(class, its first block, its number of blocks), longest first; classes share a block while it has room."""
+    out, block, filled = [], 0, 0
+    for cls, n in sorted(counts, reverse=True):
+        if filled and filled + n > most:
+            block, filled = block + 1, 0
+        parts = max(1, -(-n // most))
+        out.append((cls, block, parts))
+        if parts > 1:
+            block, filled = block + parts, 0
+        else:
+            filled += n
+    return out
+
+
+def top_k(table: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec: str = "embedding", query_block: int = 2048, candidate_block: int = 16384, growth: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query row, over all rows.
 
-    Queries and candidates are dealt to blocks of bounded size by a hash of their row, so no key or
-    repeated vector makes a block large; every query block meets every candidate block once.
+    A round's queries are dealt to blocks of bounded size by a hash; a block of queries and one of candidates meet once, in one task. The
+    driver holds two numbers for each length class.
     """
-    rows = integer_vectors(table, id_col, vec, scale)
-    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.max("v").alias("v"))
-    n_q, n_c = queries.count(), rows.count()
-    qb, cb = max(1, -(-n_q // query_block)), max(1, -(-n_c // candidate_block))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(n)).cast("int")
-    q = queries.withColumn("qb", deal(qb, 1)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    c = rows.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(cb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    spark = table.sparkSession
+    rows = integer_vectors(table, id_col, vec, scale).withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    rows = rows.select(F.col("id").cast("long").alias("id"), "v", "len", length_class(F.col("len")).alias("cls"))
+    counts = [(r["cls"], r["n"]) for r in rows.groupBy("cls").agg(F.count("*").alias("n")).collect()]
+    dealt = length_blocks(counts, candidate_block)
+    n_blocks = max((first + parts for _, first, parts in dealt), default=0)
+    classes = spark.createDataFrame(dealt, "b_cls int, first int, parts int")  # at most one row for each class
+    cand = rows.join(F.broadcast(classes), F.col("cls") == F.col("b_cls")).select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts"))).cast("int").alias("cb"))
+    queries = materialize(rows.where(is_query(F.col("id"))).groupBy("id").agg(F.max(F.struct("v", "len")).alias("x")).select("id", "x.v", "x.len"), "topk-queries")
+    # how many blocks a class of lengths and all longer ones take: what a query must meet that needs at least this length
+    longest, shortest = max((c for c, _ in counts), default=0), min((c for c, _ in counts if c > ZERO), default=0)
+    ends = {cls: first + parts for cls, first, parts in dealt}
+    reach, at = [], 0  # for each class from the longest down, one entry a class; two powers of two are 16 of them
+    for cls in range(longest, shortest - 1, -1):
+        at = max(at, ends.get(cls, 0))
+        reach.append(at)
+
+    def upto(cls: Column) -> Column:
+        place = F.lit(longest) - cls + 1
+        return F.when(place < 1, 0).when(place > len(reach), n_blocks).otherwise(F.element_at(F.lit(reach or [0]), F.greatest(F.least(place, F.lit(max(1, len(reach)))), F.lit(1))))
+
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             none = np.zeros(0, np.int64)
             return pa.table({"query_id": none, "vec_id": none, "score": none})
         q_ids = left.column("id").to_numpy()
-        r, i, s = block_top(q_ids, _matrix(left.column("v")), right.column("id").to_numpy(), _matrix(right.column("v")), k)
+        least = left.column("least").to_numpy(zero_copy_only=False)
+        r, i, s = block_top(q_ids, _matrix(left.column("v")), right.column("id").to_numpy(), _matrix(right.column("v")), k, least=least)
         return pa.table({"query_id": q_ids[r], "vec_id": i, "score": s})
 
-    cols = ["qb", "cb"]
     kinds = "query_id long, vec_id long, score long"
-    part = q.select(*cols, F.col("id").cast("long").alias("id"), "v").groupBy(*cols).cogroup(c.select(*cols, F.col("id").cast("long").alias("id"), "v").groupBy(*cols)).applyInArrow(best, kinds)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    tops = spark.createDataFrame([], kinds + ", rank int")
+    lo, hi = 0, min(1, n_blocks)
+    while lo < n_blocks:
+        beat = tops.where(F.col("rank") == k).select(F.col("query_id").alias("b_id"), F.col("score").alias("beat"))
+        asked = queries.join(beat, F.col("id") == F.col("b_id"), "left").withColumn("least", F.coalesce(F.col("beat").cast("double") * (1 - 1e-12) - 1e-6, F.lit(float("-inf"))))
+        # a length below which no product reaches the score, and its class; one class of margin for rounding
+        needed = F.when((F.col("least") > 0) & (F.col("len") > 0), length_class(F.col("least") / F.col("len")) - 1).when(F.col("least") > 0, F.lit(longest + 1)).otherwise(F.lit(ZERO))
+        asked = asked.withColumn("upto", upto(needed)).where(F.col("upto") > lo)
+        live = materialize(asked.select("id", "v", "least", "upto"), "topk-live")
+        blocks = max(1, -(-live.count() // query_block))
+        if not live.isEmpty():
+            q = live.withColumn("cb", F.explode(F.sequence(F.lit(lo), F.least(F.col("upto"), F.lit(hi)) - 1))).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+            c = cand.where((F.col("cb") >= lo) & (F.col("cb") < hi)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            found = q.select("qb", "cb", "id", "v", "least").groupBy("qb", "cb").cogroup(c.select("qb", "cb", "id", "v").groupBy("qb", "cb")).applyInArrow(best, kinds)
+            old, merged = tops, tops.drop("rank").unionByName(found).withColumn("rank", rank).where(F.col("rank") <= k)
+            tops = materialize(merged, "topk-found") if hi < n_blocks else merged
+            if hi < n_blocks:
+                drop_scratch(old, live)
+        lo, hi = hi, min(n_blocks, max(hi * growth, hi + 1))
+    return tops.select("query_id", "rank", "vec_id", "score")
