@@ -257,6 +257,67 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), model).collect() == []
 
 
+def tiny_model(kind=np.float64):
+    s = toxicity.Settings(slots=40, dim=3, widths=(1, 2, 3), filters=4, prefixes=(2, 3))
+    rng = np.random.default_rng(5)
+    params = {"embed": rng.normal(size=(s.slots, s.dim)).astype(kind), "out": rng.normal(size=12), "c": np.array([0.3])}
+    for k, w in enumerate(s.widths):
+        params[f"conv{k}"], params[f"bias{k}"] = rng.normal(size=(w * s.dim, s.filters)).astype(kind), rng.normal(size=s.filters).astype(kind) * 0.1
+    return s, params
+
+
+def plain_logit(s, params, slots):
+    """One text's score by loops: embeddings, filters over windows, maxima that rest at zero, a weighted sum."""
+    words = [sum(params["embed"][i] for i in word) for word in slots]
+    z = []
+    for k, w in enumerate(s.widths):
+        for f in range(s.filters):
+            sums = [params[f"bias{k}"][f] + sum(words[i + j] @ params[f"conv{k}"][j * s.dim : (j + 1) * s.dim, f] for j in range(w)) for i in range(len(words) - w + 1)]
+            z.append(max([0.0, *sums]))
+    return float(np.dot(z, params["out"]) + params["c"][0])
+
+
+def test_scores_equal_a_plain_forward_pass():
+    s, params = tiny_model(np.float32)
+    model = toxicity.Model(s, params["embed"], [params[f"conv{k}"] for k in range(3)], [params[f"bias{k}"] for k in range(3)], params["out"], params["c"][0], (0.7, -0.2)).prepare()
+    import pyarrow as pa
+
+    from tracemill.llm.common import raw_text
+
+    texts = ["", None, "One", "two words", "Étude three words more", " ".join(f"w{i}ord" for i in range(60)), "a b c d e"]
+    data, offs = raw_text(pa.array(texts))
+    got = model.score_chunk(data, offs)
+    for r in range(len(texts)):
+        slots, _ = toxicity.word_slots(data[offs[r] : offs[r + 1]], np.array([0, offs[r + 1] - offs[r]]), s)
+        want = 1 / (1 + np.exp(-(0.7 * plain_logit(s, params, slots) - 0.2)))
+        assert got[r] == pytest.approx(want, abs=1e-5), texts[r]
+
+
+def test_gradients_equal_differences():
+    s, params = tiny_model()
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, s.slots, (n, 3)) for n in (1, 2, 7, 12)]
+    labels, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([2.0, 1.0, 0.5, 1.0])
+
+    def loss():
+        z = np.array([plain_logit(s, params, t) for t in texts])
+        return float(np.mean(weight * (np.log1p(np.exp(z)) - labels * z)))
+
+    grads, (slots, rows) = toxicity.gradients(params, s, texts, labels, weight)
+    grads["embed"] = np.zeros_like(params["embed"])
+    np.add.at(grads["embed"], slots, rows)
+    for name, g in grads.items():
+        flat = params[name].reshape(-1)
+        for i in rng.permutation(len(flat))[:12]:
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            down = loss()
+            flat[i] = old
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-6, abs=1e-6), name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tracemill.llm.common import materialize, read_table

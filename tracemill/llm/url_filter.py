@@ -5,7 +5,8 @@ Among fitting rules the one with most host labels wins, then the one with the lo
 rules that disagree, ``block`` wins. Urls that no rule fits get the default verdict.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, so only a rule with an empty
-host can fit it. Repeated rows keep their multiplicity; other columns of the input pass through; a column
+host can fit it. Very long urls are matched segment by segment as any other; an empty table gives no rows, an empty rule list the
+default verdict everywhere. Repeated rows keep their multiplicity; other columns of the input pass through; a column
 of the input named like an output (host, path, rule, verdict) is replaced.
 """
 
