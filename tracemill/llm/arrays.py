@@ -1,15 +1,22 @@
-"""Numpy arrays in the shared folder: written by tasks, memory-mapped by workers."""
+"""Numpy arrays in the shared folder: written by tasks, memory-mapped by workers.
+
+Where the folder is mounted, arrays are mapped. From a store that cannot be mapped they are read into memory, the ones used last up to
+``HELD_BYTES`` a worker; nothing is copied to a machine's own disk.
+"""
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
 
-_open: dict = {}
+#: Bytes of arrays that a worker keeps of a store that cannot be mapped.
+HELD_BYTES = 256 << 20
+_open: OrderedDict = OrderedDict()
 
 
 def _local(uri: str) -> str | None:
@@ -38,24 +45,26 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def get(folder: str, name: str) -> np.ndarray:
-    """The array, memory-mapped and kept open by this worker."""
+    """The array, kept open by this worker: memory-mapped, or of a store that cannot be mapped read whole."""
     key = (folder, name)
-    if key not in _open:
-        path = _local(folder)
-        if path is None:
-            # a store that cannot be mapped: map a local copy that is unlinked at once, so nothing is left behind
-            from pyarrow import fs
+    if key in _open:
+        _open.move_to_end(key)
+        return _open[key]
+    path = _local(folder)
+    if path is None:
+        from pyarrow import fs
 
-            store, base = fs.FileSystem.from_uri(folder)
-            with tempfile.NamedTemporaryFile() as f, store.open_input_stream(f"{base}/{name}.npy") as src:
-                while block := src.read(1 << 20):
-                    f.write(block)
-                f.flush()
-                _open[key] = np.load(f.name, mmap_mode="r")
-        else:
-            size = os.path.getsize(f"{path}/{name}.npy")
-            _open[key] = np.load(f"{path}/{name}.npy", mmap_mode="r") if size > 256 else np.load(f"{path}/{name}.npy")
-    return _open[key]
+        store, base = fs.FileSystem.from_uri(folder)
+        with store.open_input_stream(f"{base}/{name}.npy") as src:
+            found = np.load(io.BytesIO(src.read()))
+        held = sum(a.nbytes for a in _open.values()) + found.nbytes
+        while _open and held > HELD_BYTES:
+            held -= _open.popitem(last=False)[1].nbytes
+    else:
+        size = os.path.getsize(f"{path}/{name}.npy")
+        found = np.load(f"{path}/{name}.npy", mmap_mode="r") if size > 256 else np.load(f"{path}/{name}.npy")
+    _open[key] = found
+    return found
 
 
 def close_others(folder: str) -> None:
