@@ -31,7 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles have similarity 0.8 or more, that with the smallest id stays."""
+    """SimHash classes, and MinHash groups beside them, name candidates; of documents whose sets of five-word shingles have similarity 0.8
+    or more, that with the smallest id stays."""
     return keep_first_copy(docs)
 
 

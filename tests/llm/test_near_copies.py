@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from tracemill.llm import near_copies
 
 
 def shingles(text):
@@ -72,3 +75,37 @@ def test_classes_meet_beyond_the_leaders(spark):
             for _ in range(5):
                 w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
     assert stage(spark, rows) == first_ids(rows)
+
+
+def test_fingerprints_name_candidates_by_themselves(spark, monkeypatch):
+    """Without the MinHash keys, SimHash links still bring near copies to the exact check, and unlike texts stay."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: np.random.default_rng(len(hashes)).integers(0, 1 << 63, (len(hashes), near_copies.BANDS)).astype(np.uint64))
+    rng = random.Random(14)
+    line = " ".join(f"licence{i}" for i in range(11))
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(80)] + [line] * 60)) for i in range(20)]
+    for _ in range(20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:-1]))]
+    assert stage(spark, rows) == first_ids(rows) == {*range(20), *range(20, 60, 2)}
+
+
+def test_copies_close_to_one_text_are_not_paired_with_each_other(spark, monkeypatch):
+    """Edited copies of one text, many of them under 0.8: links as by brute force, without a pair for each two."""
+    links, unite = [], near_copies._united
+    monkeypatch.setattr(near_copies, "_united", lambda known, found: (links.append(found.count()), unite(known, found))[1])
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        w = list(base)
+        for _ in range(rng.randint(1, 8)):
+            w[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        if i % 7 == 0:  # copies of a copy, and shorter ones: alike by what they share outside the text, or by sizes
+            w = rows[rng.randrange(1, i)][1].split()
+            w[rng.randrange(len(w))] = f"n{i}"
+        if i % 5 == 0:
+            w = w[: rng.randint(100, 149)]
+        rows.append((i, " ".join(w)))
+    want = first_ids(rows)
+    assert stage(spark, rows) == want and 20 < len(want) < 380
+    assert links[1] > 0 and sum(links) < 20 * len(rows)

@@ -204,16 +204,22 @@ def near_links(distinct: DataFrame, budget: int = 4, blocks: int = 6, dense: int
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def classes_of(distinct: DataFrame, budget: int = 4) -> DataFrame:
+    """``distinct`` with ``root``, one of the fingerprints that links of at most ``budget`` bits reach from ``fp``."""
+    classes = components(near_links(distinct.select("fp"), budget))
+    known = materialize(distinct.join(classes, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "simhash-known")
+    drop_scratch(classes)
+    return known
+
+
 def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, h, fp, component_id (the smallest id of the class) and first (the class's first row: smallest id, then text hash) of every row."""
     prints = materialize(fingerprints(docs, width, seed, id_col, text), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(first_row().alias("first")), "simhash-distinct")
-    classes = components(near_links(distinct.select("fp"), budget))
-    known = distinct.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    known = materialize(known, "simhash-known")
+    known = classes_of(distinct, budget)
     lowest = known.groupBy("root").agg(F.min("first").alias("least"))
     named = materialize(known.join(lowest, "root").select(F.col("fp").alias("f2"), "least"), "simhash-named")
-    drop_scratch(distinct, classes, known)
+    drop_scratch(distinct, known)
     return prints.join(named, F.col("fp") == F.col("f2"), "left").select("doc_id", "h", "fp", F.col("least.id").alias("component_id"), F.col("least").alias("first"))
 
 
