@@ -298,3 +298,17 @@ def test_an_index_table_finds_the_same(spark):
     order = lambda df: sorted((r["id"] or -1, r["marks"]) for r in df.collect())
     assert order(secrets.scan(docs, index=index)) == order(secrets.scan(docs))
     assert sorted(map(str, secrets.redact(docs, index=index).collect())) == sorted(map(str, secrets.redact(docs).collect()))
+
+
+def test_a_scan_goes_through_its_index(spark, monkeypatch):
+    """Candidates come from postings alone, also where rows share an id or have none."""
+    texts = ["token=abcdefgh", "AKIA" + "Z9" * 8, "deadbeef" * 3, "nothing", None]
+    rows = [(i, t) for t in texts for i in (1, None)] + [(2, "ghp_" + "a" * 36)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = sorted((i or 0, sorted(secret_model(t or ""))) for i, t in rows if i != 2)
+    found = secrets.scan(docs).where("id IS NULL OR id <> 2").collect()
+    assert sorted((r["id"] or 0, sorted((m["s"], m["k"], m["e"]) for m in r["marks"])) for r in found) == want
+    build = secrets.build_index
+    monkeypatch.setattr(secrets, "build_index", lambda *a, **k: build(*a, **k).where("gram <> 'tok'"))
+    left = {r["text"] for r in secrets.redact(docs).collect()}
+    assert "token=abcdefgh" in left and "[ACCESS]" in left and "[HEX]" in left and "[GITHUB]" in left

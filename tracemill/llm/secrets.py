@@ -4,9 +4,10 @@ From each rule's regex a Boolean query of mandatory trigrams is derived. Posting
 some rule asks for; a rule's candidates come from intersecting and uniting postings, and only their texts are verified
 with the regex. Rules without mandatory trigrams scan every text. Postings are over lowered text, so a query never misses a match.
 
-For one scan, postings stay where the text is: a row's are intersected in the row, trigram by trigram and no further than the query needs,
-and neither texts nor postings move. ``build_index`` writes postings (gram, id) as a table for corpora that are scanned again with other
-rules; given to ``scan`` or ``redact``, its candidates are joined to the texts by id and the texts of the others are not looked at.
+``build_index`` writes postings (gram, id). A scan builds them itself, by a hash of id and text, so that rows that share an id, or have none,
+have postings of their own; an index table, for corpora that are scanned again with other rules, is given to ``scan`` or ``redact``. Postings
+meet by document, never by trigram, so a frequent trigram is no hot key; the candidates are then joined to the texts, and a rule does not look
+at the texts of the others.
 
 Defined cases: a null text is empty and has no secrets; a very long text is searched whole, in time that its length and matches take, not
 their squares; matches of several rules at one place are all marked, in the rules' order; rows that share an id, or a null id, are each
@@ -190,13 +191,14 @@ def marked(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text", id_co
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     rows = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    if indexed and index is not None:
+    key = id_col
+    if indexed and index is None:
+        key = "__key"
+        rows = rows.withColumn(key, F.xxhash64(id_col, "__t"))
+        index = build_index(rows, sorted(set().union(*map(trigrams, indexed.values()))), "__t", key)
+    if indexed:
         cand = candidates(index, indexed).select(F.col("id").alias("__cid"), F.col("kinds").alias("__kinds"))
-        rows = rows.join(cand, F.col(id_col).eqNullSafe(F.col("__cid")), "left")
-    elif indexed:
-        rows = rows.withColumn("__low", F.lower("__t"))
-        kinds = [F.when(holds(q, lambda g: F.contains(F.col("__low"), F.lit(g))), F.lit(k)) for k, q in indexed.items()]
-        rows = rows.withColumn("__kinds", F.array_compact(F.array(*kinds)))
+        rows = rows.join(cand, F.col(key).eqNullSafe(F.col("__cid")), "left")
     wanted = lambda r: F.coalesce(F.array_contains("__kinds", r.kind), F.lit(False)) if r.kind in indexed else None
     found = [F.transform(_matches(F.col("__t"), r, wanted(r)), _marker(k)) for k, r in enumerate(rules)]
     return rows.withColumn("__marks", F.concat(*found) if found else F.array().cast(MARKS)).select(*docs.columns, "__marks")
