@@ -257,6 +257,25 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Words that one document of 4,000 has count; many shards learn and calibrate like one."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(10)) + (" moron" if i % 20 == 0 else ""), "en") for i in range(5400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    seen = []
+    count, finish = toxicity._total, toxicity.finish
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "_total", lambda table, each: (seen.append(table.count()), count(table, each))[1])
+        patch.setattr(toxicity, "finish", lambda params, z, *more: (seen.append(len(z)), finish(params, z, *more))[1])
+        model = toxicity.fit(docs, labels, toxicity.remainder() != 2, toxicity.Settings(shard_rows=900))
+    usable = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(5400))
+    assert usable > 3600 and set(seen[:-1]) == {usable} and usable // 5 - 6 <= seen[-1] <= usable // 5
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((got[i] >= 0.3) == (i % 20 == 0) for i in held) >= 0.98 * len(held)
+
+
 def tiny_model(kind=np.float64):
     s = toxicity.Settings(slots=40, dim=3, widths=(1, 2, 3), filters=4, prefixes=(2, 3))
     rng = np.random.default_rng(5)
