@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -107,6 +108,60 @@ def test_collisions_are_verified(monkeypatch):
     assert not (got & ~want).any()  # a weak hash never removes what is not repeated
 
 
+def test_cost_does_not_grow_with_groups_or_targets(monkeypatch):
+    """The sort's comparisons a suffix do not grow with the group, and what tasks send takes no work for each of its targets."""
+    rng = np.random.default_rng(0)
+    real, hashed = D.PrefixHashes.of, []
+    monkeypatch.setattr(D.PrefixHashes, "of", lambda self, a, n: hashed.append(len(a)) or real(self, a, n))
+
+    def compared(n):
+        hashed.clear()
+        text = np.tile(np.r_[rng.integers(97, 123, 60), np.full(40, 97)].astype(np.uint8), n + 2)
+        text[::100] = rng.integers(97, 123, len(text[::100]))
+        D.repeated(text, np.arange(n) * 100, np.zeros(n, np.int64), np.arange(n), 100)
+        return sum(hashed) / n
+
+    assert compared(4000) <= 1.2 * compared(250)
+
+    def calls(targets):
+        n, made = 5000, []
+        cols = {"id": rng.integers(-9, 1 << 40, n), "h": rng.integers(0, 1 << 63, n).astype(np.uint64), "start": np.arange(n), "n": np.ones(n, np.int64)}
+        part, size = rng.integers(0, targets, n), rng.integers(0, 30, n)
+        sys.setprofile(lambda frame, event, arg: made.append(event) if "call" in event else None)
+        try:
+            batches = list(D.pack("gone", part, D.GONE, cols, (np.arange(200).astype(np.uint8), cols["start"] % 170, size)))
+        finally:
+            sys.setprofile(None)
+        assert sum(b.num_rows for b in batches) == len(set(part.tolist()))
+        (got,) = D.unpack([b.slice(i, 3) for b in batches for i in range(0, b.num_rows, 3)], gone=D.GONE)
+        order = np.argsort(part, kind="stable")
+        assert all((got[k] == cols[k][order]).all() for k in cols)
+        assert got["text"].tobytes() == b"".join(bytes(range(cols["start"][i] % 170, cols["start"][i] % 170 + size[i])) for i in order)
+        return len(made)
+
+    assert calls(2000) <= calls(20) + 20
+
+
+def test_frequent_grams_are_cut_into_pieces(spark, monkeypatch):
+    """Each window is in one piece, equal windows share a key, and a piece costs about a run's bytes, not a window's for each window."""
+    texts = [t for _, t in sample(3) + sample(5)]
+    data, offs = raw_text(__import__("pyarrow").array(texts))
+    row, start, n, g, _, off = D.text_runs(data, offs, D.WINDOW, D.GRAM)
+    at = offs[row] + start
+    own, first, count, key = D.pieces(data, at, n, off, g, D.WINDOW, D.GRAM)
+    place = np.concatenate([np.arange(a, a + c) for a, c in zip((at[own] + first).tolist(), count.tolist())])
+    assert (np.sort(place) == np.sort(np.concatenate([np.arange(a, a + c) for a, c in zip(at.tolist(), n.tolist())]))).all()
+    keys: dict = {}
+    for p, k in zip(place.tolist(), np.repeat(key, count).tolist()):
+        keys.setdefault(data[p : p + D.WINDOW].tobytes(), set()).add(k)
+    assert all(len(k) == 1 for k in keys.values())
+    assert (count + D.WINDOW - 1).sum() < 4 * (n + D.WINDOW - 1).sum()
+    monkeypatch.setattr(D, "BLOCK_RUNS", 1)
+    monkeypatch.setattr(D, "BLOCK_SUFFIXES", 50)
+    rows = sample(6)
+    assert run(spark, rows, bucket_bytes=3000) == brute(rows)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
