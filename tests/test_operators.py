@@ -268,6 +268,41 @@ def test_generation_and_export(spark, tmp_path):
     assert (tmp_path / "sft.json").exists() and not os.path.exists(tmp_path / "none.json")
 
 
+def test_small_batches_are_handed_on_together_and_made_once(spark):
+    import time
+
+    rows = spark.range(0, 20000, 1, 1).select(F.col("id").alias("ordinal"), F.concat(F.lit("p"), F.col("id")).alias("prompt"), F.struct(F.lit("x").alias("level")).alias("metadata"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def make():
+        def model(prompts):
+            asked.add(len(prompts))
+            if prompts[0].endswith("7"):
+                raise RuntimeError("out of memory")
+            return [(p + "!", 2) for p in prompts][: 0 if prompts[0].endswith("8") else None]
+
+        return model
+
+    since = time.monotonic()
+    made = runs.generated(rows, make, 1).orderBy("ordinal").collect()
+    assert time.monotonic() - since < 40  # 88 s while each batch was a frame of its own
+    assert asked.value == 20000 and [r["ordinal"] for r in made] == list(range(20000))
+    assert made[6]["full_output"] == "p6!" and made[6]["output_token_count"] == 2 and made[6]["error"] is None and made[6]["metadata"]["level"] == "x"
+    assert made[7]["error"] == "out of memory" and made[8]["error"] == "0 results for 1 prompts" and made[8]["full_output"] is None
+    P.GATHER_CHARS, old = 3, P.GATHER_CHARS
+    try:
+        assert [r["full_output"] for r in P.generate(rows.limit(5), make, 2).orderBy("ordinal").collect()] == [f"p{i}!" for i in range(5)]
+    finally:
+        P.GATHER_CHARS = old
+
+
+def test_lines_are_numbered_through_the_parts_of_a_folder_named_like_a_file(spark, tmp_path):
+    jsonl.write_text(spark.range(0, 1000, 1, 5).select(F.concat(F.lit('{"n":'), F.col("id"), F.lit("}")).alias("value")), str(tmp_path / "a.jsonl"))
+    rows = jsonl.scan_strict(spark, str(tmp_path / "a.jsonl"))
+    assert all(int(r["m"]["n"]) == r["idx"] for r in rows.collect()) and rows.count() == 1000
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().toString()  # lines do not move
+
+
 def fake_generator(args):
     return lambda prompts: [(f"so\n\nstep {p}\n</think>\n\n\\boxed{{1}}", 4) for p in prompts]
 

@@ -136,7 +136,7 @@ def generated_traces(spark, sf_dir):
         F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("What is "), F.col("o_orderkey"), F.lit("?")).alias("question"), F.col("o_custkey").cast("string").alias("answer"),
         F.struct(F.lit("").alias("solution"), F.col("o_orderpriority").alias("level"), F.lit("").alias("type"), F.lit("").alias("unique_id")).alias("metadata"),
     )
-    made = P.generate(rows.withColumn("prompt", T.user_prompt(F.col("question"))), make, batch_size=1)
+    made = runs.generated(rows.withColumn("prompt", T.user_prompt(F.col("question"))), make, batch_size=1)
     path = paths.traces_path(work_folder(spark, "generated"), "m", "d")
     jsonl.write_jsonl(runs.generated_records(made, "d"), path, order=["sample_id"])
     m = F.col("m")

@@ -99,14 +99,20 @@ def publish(spark: SparkSession, folder: str, canonical: str, single_file: bool
     return canonical
 
 
-def save_generated(spark: SparkSession, source: str, output_dir: str, dataset: str, model: str, make_model, num_samples: int | None = None, batch_size: int = 32) -> str:
-    """Generate traces for problem records; batches that fail leave gaps in the ids."""
+def generated(rows: DataFrame, make_model, batch_size: int = 32) -> DataFrame:
+    """Rows with a prompt and what the model made of them, written before anything reads them: paid for once, whatever sorts or is lost later."""
     from ..providers import generate
 
-    made = work_folder(spark, "generated")
-    generate(prompts(spark, source, num_samples), make_model, batch_size).write.parquet(made)  # paid for once, whatever is lost later
+    made = work_folder(rows.sparkSession, "generated")
+    generate(rows, make_model, batch_size).write.parquet(made)
+    return rows.sparkSession.read.parquet(made)
+
+
+def save_generated(spark: SparkSession, source: str, output_dir: str, dataset: str, model: str, make_model, num_samples: int | None = None, batch_size: int = 32) -> str:
+    """Generate traces for problem records; batches that fail leave gaps in the ids."""
+    made = generated(prompts(spark, source, num_samples), make_model, batch_size)
     target = paths.traces_path(output_dir, model_name(model), dataset)
-    jsonl.write_jsonl(generated_records(spark.read.parquet(made), dataset), target, order=["sample_id"])
+    jsonl.write_jsonl(generated_records(made, dataset), target, order=["sample_id"])
     return target
 
 

@@ -16,6 +16,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,26 +116,42 @@ def retrying(call: Callable[[], str], retries: int, pause: Callable[[int], float
     raise ValueError("at least one try is needed")
 
 
+#: Rows and characters of made text that a task gathers before it hands them on.
+GATHER_ROWS, GATHER_CHARS = 1000, 1 << 24
+
+
 def generate(df: DataFrame, make_model: Callable[[], Callable[[list[str]], list[tuple[str, int]]]], batch_size: int = 32) -> DataFrame:
     """Add full_output, output_token_count and error to rows with a ``prompt``. A batch that fails marks its rows, which then leave gaps.
 
-    The model maps prompts to (text, number of tokens). Prompts travel with their rows, so nothing is joined back.
+    The model maps prompts to (text, number of tokens). Prompts travel with their rows, so nothing is joined back. The other columns pass
+    as they are, and results are handed on many batches at a time: a batch costs its call of the model, whatever its size.
     """
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL("full_output string, output_token_count long, error string").fields])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
-        for pdf in frames:
-            for a in range(0, len(pdf), batch_size):
-                part = pdf.iloc[a : a + batch_size].copy()
-                try:
-                    made = model(part["prompt"].tolist())
-                    part["full_output"], part["output_token_count"], part["error"] = [m[0] for m in made], [m[1] for m in made], None
-                except Exception as failed:
-                    part["full_output"], part["output_token_count"], part["error"] = None, None, str(failed)
-                yield part
+    def made_of(model, prompts: list[str]) -> list[tuple]:
+        try:
+            made = [(text, tokens, None) for text, tokens in model(prompts)]
+            if len(made) != len(prompts):
+                raise ValueError(f"{len(made)} results for {len(prompts)} prompts")
+            return made
+        except Exception as failed:
+            return [(None, None, str(failed))] * len(prompts)
 
-    return df.mapInPandas(run, schema)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make_model()
+        for frame in frames:
+            prompts, made, done, chars = frame.column("prompt").to_pylist(), [], 0, 0
+            for a in range(0, len(prompts), batch_size):
+                part = made_of(model, prompts[a : a + batch_size])
+                made += part
+                chars += sum(len(text or "") for text, _, _ in part)
+                if len(made) >= GATHER_ROWS or chars >= GATHER_CHARS or a + batch_size >= len(prompts):
+                    texts, tokens, errors = zip(*made)
+                    kept = frame.slice(done, len(made)).columns
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(tokens, pa.int64()), pa.array(errors, pa.string())], schema.names)
+                    done, made, chars = done + len(made), [], 0
+
+    return df.mapInArrow(run, schema)
 
 
 def refine(df: DataFrame, make_chat: Callable[[], Callable[[list[dict]], str]], question: str = "question", draft: str = "compressed_output", original: str = "original_output", retries: int = 3, delay: float = 2.0) -> DataFrame:

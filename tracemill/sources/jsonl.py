@@ -12,21 +12,28 @@ from ..functions.text import let, nonblank
 from .paths import SHARD_GLOB, Store, resolve_parquet
 
 STRINGS = "map<string,string>"
+# The folder of parts that counts as one file, or the file itself.
+PARTS_OF_ONE = r"^(.*\.jsonl(?=/[^/]*$)|.*)"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, idx, value): every physical line with its 0-based number in its file, blank lines included.
+    """(file, idx, value): every physical line with its 0-based number in its file, blank lines included. A folder of parts named like a file counts as one.
 
-    Lines are numbered from the counts of the file's splits: a count per split, a running sum over that
-    small table and a join; no pass through one task.
+    Lines are numbered from the counts of the file's splits: a count per split and a running sum over that
+    small table, which every task gets whole; no line leaves its task.
     """
+    return _numbered(spark, path, F.regexp_extract("part", PARTS_OF_ONE, 1)).select("file", "idx", "value")
+
+
+def _numbered(spark: SparkSession, path: str, file: Column) -> DataFrame:
+    """(file, idx, value): lines numbered through all parts that ``file``, a column of the path ``part``, puts together, in the order of their names."""
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+        F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )
-    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    joined = lines.join(splits, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    splits = lines.groupBy("part", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")).select("*", file.alias("file"))
+    before = Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", F.col("part").alias("p"), F.col("block").alias("b"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    joined = lines.join(F.broadcast(splits), (F.col("part") == F.col("p")) & (F.col("block") == F.col("b")))
     return joined.select("file", (F.col("at") + F.col("shift")).alias("idx"), "value")
 
 
@@ -120,11 +127,7 @@ def write_text(rows: DataFrame, path: str, mode: str = "overwrite", single_file:
 
 def place_of_lines(spark: SparkSession, path: str) -> DataFrame:
     """(place, value): the lines of a folder of ordered part files numbered through all files, as one file would be."""
-    lines = read_lines(spark, path)
-    sizes = lines.groupBy(F.col("file").alias("f")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("f", before.alias("before"))
-    return lines.join(sizes, F.col("file") == F.col("f")).select((F.col("before") + F.col("idx")).alias("place"), "value")
+    return _numbered(spark, path, F.lit("")).select(F.col("idx").alias("place"), "value")
 
 
 def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
