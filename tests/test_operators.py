@@ -296,6 +296,30 @@ def test_small_batches_are_handed_on_together_and_made_once(spark):
         P.GATHER_CHARS = old
 
 
+def test_an_array_is_written_and_read_by_many_tasks(spark, tmp_path):
+    import tracemill.plans.queries as Q
+
+    odd = ["", "a\n  },\nb", '\n  },\n{"', "]\n]", "é\u2028\r\n", "\\", "[\n", "\n]"]
+    df = spark.range(0, 400, 1, 7).select((399 - F.col("id")).alias("n"), F.element_at(F.array(*map(F.lit, odd)), (F.col("id") % len(odd) + 1).cast("int")).alias("t"), F.array(F.struct(F.col("id").alias("k"))).alias("a"))
+    path = str(tmp_path / "x.json")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert jsonl.write_json_array(df, path, ["n"], ["n", "t", "a"]) == 400 and os.listdir(tmp_path) != []
+    want = [{"n": n, "t": odd[(399 - n) % len(odd)], "a": [{"k": 399 - n}]} for n in range(400)]
+    with open(path, encoding="utf-8", newline="") as f:
+        assert f.read() == json.dumps(want, indent=2, ensure_ascii=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001")
+    try:
+        rows = jsonl.read_json_array(spark, path, "n long, t string, a array<struct<k:long>>")
+        assert rows.rdd.getNumPartitions() > 5
+        assert [(r["place"], r["x"].asDict(True)) for r in rows.orderBy("place").collect()] == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert jsonl.write_json_array(df.where("n < 0"), path, ["n"], ["n"]) == 0 and json.loads((tmp_path / "x.json").read_text()) == []
+    assert jsonl.read_json_array(spark, path, "n long").collect() == []
+    # the array is not handed to one task as one text
+    assert "ExistingRDD" not in Q.QUERIES["exported_array"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_lines_are_numbered_through_the_parts_of_a_folder_named_like_a_file(spark, tmp_path):
     jsonl.write_text(spark.range(0, 1000, 1, 5).select(F.concat(F.lit('{"n":'), F.col("id"), F.lit("}")).alias("value")), str(tmp_path / "a.jsonl"))
     rows = jsonl.scan_strict(spark, str(tmp_path / "a.jsonl"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,13 +178,9 @@ def exported_array(spark, sf_dir):
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("compressed_output"))
     rows = q.join(a, ["conv_id", "turn"]).withColumn("original_output", F.when(F.col("turn") % 4 != 0, F.col("compressed_output")).otherwise(""))
     lines = rows.select(F.struct("conv_id", "turn").alias("at"), F.to_json(F.struct("question", "compressed_output", "original_output")).alias("value"))
-    target = os.path.join(tempfile.mkdtemp(prefix="tracemill-"), "sft.json")
+    target = f"{work_folder(spark, 'sft')}/sft.json"
     runs.export_sft(spark, as_file(lines, "at"), lambda: lambda messages: " refined ", target)
-    with open(target, encoding="utf-8") as f:
-        text = f.read()
-    os.remove(target)
-    os.rmdir(os.path.dirname(target))
-    entries = spark.createDataFrame([(text,)], "value string").select(F.posexplode(F.from_json("value", "array<struct<instruction:string,input:string,output:string>>")).alias("place", "x"))
+    entries = jsonl.read_json_array(spark, target, "instruction string, input string, output string")
     return entries.select(F.col("place").cast("long").alias("place"), F.md5("x.instruction").alias("instruction"), F.md5("x.output").alias("output"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,9 +26,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(spark, path, F.regexp_extract("part", PARTS_OF_ONE, 1)).select("file", "idx", "value")
 
 
-def _numbered(spark: SparkSession, path: str, file: Column) -> DataFrame:
+def _numbered(spark: SparkSession, path: str, file: Column, end: str | None = None) -> DataFrame:
     """(file, idx, value): lines numbered through all parts that ``file``, a column of the path ``part``, puts together, in the order of their names."""
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(path, lineSep=end).select(
         F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )
     splits = lines.groupBy("part", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")).select("*", file.alias("file"))
@@ -141,14 +142,40 @@ def append_results(df: DataFrame, path: str) -> None:
     write_results(df, path, "append")
 
 
+# What stands between the entries of a pretty array, and behind the last field of one. Texts have no bare line breaks, and what is nested is indented further.
+ENTRY_BREAK, ENTRY_END = ",\n", "\n  }"
+
+
 def write_json_array(df: DataFrame, path: str, order: list, columns: list[str]) -> int:
-    """One pretty JSON array on the driver's disk, streamed a partition at a time. Returns the number of entries."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for row in df.orderBy(*order).select(*columns).toLocalIterator():
-            body = json.dumps(row.asDict(recursive=True), indent=2, ensure_ascii=False)
-            out.write((",\n" if n else "\n") + "  " + body.replace("\n", "\n  "))
-            n += 1
-        out.write("\n]" if n else "]")
+    """One pretty JSON array, on any store that Spark writes: entries are sorted and made by tasks, their parts are joined by streaming. Returns the number of entries."""
+
+    def pretty(frames):
+        for frame in frames:
+            for a in range(0, frame.num_rows, 500):
+                texts = ["  " + json.dumps(row, indent=2, ensure_ascii=False).replace("\n", "\n  ") for row in frame.slice(a, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+    spark, parts = df.sparkSession, path.rstrip("/") + ".parts"
+    df.orderBy(*order).select(*columns).mapInArrow(pretty, "value string").write.mode("overwrite").text(parts, lineSep=ENTRY_BREAK)
+    store = Store(spark, path)
+    made = [f for f in store.files(parts, False) if "/part-" in f]
+    n = spark.read.text(parts, lineSep=ENTRY_END + ENTRY_BREAK).count()
+    store.join_files(made, f"{parts}/_whole", b"[\n" if n else b"[", b"\n]" if n else b"]", len(ENTRY_BREAK))
+    _put(store, f"{parts}/_whole", path, parts)
     return n
+
+
+def _put(store: Store, made: str, path: str, parts: str) -> None:
+    """A file made in the folder ``parts`` to its place; the folder goes."""
+    if store.exists(path):
+        store.delete(path)
+    store.rename(made, path)
+    store.delete(parts)
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(place, x): the entries of an array as ``write_json_array`` writes it, read by as many tasks as the file has splits. One that does not parse fails the job."""
+    rows = _numbered(spark, path, F.lit(""), ENTRY_END + ENTRY_BREAK).where(F.col("value") != "[]")
+    text = F.regexp_replace("value", r"\A\[\n", "")
+    text = F.when(F.endswith(text, F.lit("\n]")), F.substr(text, F.lit(1), F.length(text) - 2)).otherwise(F.concat(text, F.lit(ENTRY_END)))
+    return rows.select(F.col("idx").alias("place"), F.from_json(text, schema, {"mode": "FAILFAST"}).alias("x"))

@@ -46,6 +46,22 @@ class Store:
         if not self.fs.rename(self.path(p), self.path(to)):
             raise OSError(f"cannot rename {p} to {to}")
 
+    def join_files(self, parts: list[str], to: str, head: bytes = b"", tail: bytes = b"", cut: int = 0) -> None:
+        """One file of the parts in their order, less the last ``cut`` bytes: streamed, so memory does not grow with them."""
+        sizes = [(p, n) for p in parts if (n := self.fs.getFileStatus(self.path(p)).getLen())]
+        out = self.fs.create(self.path(to), True)
+        try:
+            out.write(bytearray(head))
+            for k, (p, n) in enumerate(sizes, 1):
+                source = self.fs.open(self.path(p))
+                try:
+                    self.jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, n - cut if k == len(sizes) else n)
+                finally:
+                    source.close()
+            out.write(bytearray(tail))
+        finally:
+            out.close()
+
 
 def resolve_parquet(spark: SparkSession, path: str) -> str:
     """The file itself, the default file of its data folder, or the only Parquet file there."""
