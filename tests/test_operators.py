@@ -320,6 +320,26 @@ def test_an_array_is_written_and_read_by_many_tasks(spark, tmp_path):
     assert "ExistingRDD" not in Q.QUERIES["exported_array"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
+def test_lines_are_sorted_and_written_by_many_tasks(spark, tmp_path):
+    from tracemill.plans.file_queries import as_file
+
+    rows = spark.range(0, 4000, 1, 4).select((3999 - F.col("id")).alias("n"), F.concat(F.lit("line "), F.col("id")).alias("value"))
+    tracker, old = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for single, group in ((True, "one file"), (False, "parts")):
+            spark.sparkContext.setJobGroup(group, group)
+            path = as_file(rows, "n", "a.jsonl", f"{tmp_path}/{single}", single_file=single)
+            stages = [i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds]
+            last = tracker.getStageInfo(max(stages))
+            assert last.numTasks == 4, group
+            assert os.path.isfile(path) == single and os.listdir(tmp_path / str(single)).count("a.jsonl.parts") == 0
+            assert [r["value"] for r in jsonl.read_lines(spark, path).orderBy("idx").collect()] == [f"line {3999 - n}" for n in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_lines_are_numbered_through_the_parts_of_a_folder_named_like_a_file(spark, tmp_path):
     jsonl.write_text(spark.range(0, 1000, 1, 5).select(F.concat(F.lit('{"n":'), F.col("id"), F.lit("}")).alias("value")), str(tmp_path / "a.jsonl"))
     rows = jsonl.scan_strict(spark, str(tmp_path / "a.jsonl"))

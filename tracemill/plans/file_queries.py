@@ -16,10 +16,10 @@ from . import runs
 from .queries import _ANSWERS, _TRACES, query, table, traces
 
 
-def as_file(lines: DataFrame, order: str, name: str = "traces_cot.jsonl", folder: str | None = None) -> str:
-    """Rows (order, value) as one file of lines."""
+def as_file(lines: DataFrame, order: str, name: str = "traces_cot.jsonl", folder: str | None = None, single_file: bool = False) -> str:
+    """Rows (order, value) as a folder of ordered parts that counts as one file of lines, or as one file."""
     path = posixpath.join(folder or work_folder(lines.sparkSession, "lines"), name)
-    jsonl.write_text(lines.orderBy(order).select("value"), path, single_file=True)
+    jsonl.write_text(lines.orderBy(order).select("value"), path, single_file=single_file)
     return path
 
 
@@ -89,13 +89,13 @@ def path_rules(spark, sf_dir):
     """Which file a path means, and what is stale, over files made for it."""
     folder = work_folder(spark, "paths")
     one = spark.range(1).selectExpr("id", "'{}' AS value")
-    as_file(one, "id", "x_cot.jsonl", f"{folder}/a")
-    as_file(one, "id", "y.jsonl", f"{folder}/a")
-    as_file(one, "id", "y.jsonl", f"{folder}/b")
-    as_file(one, "id", "z.jsonl", f"{folder}/b")
-    as_file(one, "id", "note.txt", f"{folder}/c")
+    as_file(one, "id", "x_cot.jsonl", f"{folder}/a", single_file=True)
+    as_file(one, "id", "y.jsonl", f"{folder}/a", single_file=True)
+    as_file(one, "id", "y.jsonl", f"{folder}/b", single_file=True)
+    as_file(one, "id", "z.jsonl", f"{folder}/b", single_file=True)
+    as_file(one, "id", "note.txt", f"{folder}/c", single_file=True)
     for name in ("positions.json", "region_stats_layer0.png", "other.png"):
-        as_file(one, "id", name, f"{folder}/d")
+        as_file(one, "id", name, f"{folder}/d", single_file=True)
     one.coalesce(1).write.parquet(f"{folder}/p/data")
 
     def tried(f, *args):

@@ -106,24 +106,20 @@ def as_json(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, order: list | None = None, mode: str = "overwrite", single_file: bool = False, columns: list[str] | None = None) -> None:
-    """Write JSON lines, in order if asked: a folder of ordered part files, or for small results one file of that name."""
+    """Write JSON lines, in order if asked: a folder of ordered part files, or one file of that name."""
     rows = df.orderBy(*order) if order else df
     write_text(as_json(rows, columns), path, mode, single_file)
 
 
 def write_text(rows: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
-    """Rows (value) as lines, in their order."""
+    """Rows (value) as lines, in their order. One file is written as parts by many tasks too, which are then joined by streaming."""
     if not single_file:
         rows.write.mode(mode).text(path)
         return
-    parts = path.rstrip("/") + ".parts"
-    rows.coalesce(1).write.mode("overwrite").text(parts)
-    store = Store(rows.sparkSession, path)
-    made = [f for f in store.files(parts, False) if "/part-" in f]
-    if store.exists(path):
-        store.delete(path)
-    store.rename(made[0], path)
-    store.delete(parts)
+    parts, store = path.rstrip("/") + ".parts", Store(rows.sparkSession, path)
+    rows.write.mode("overwrite").text(parts)
+    store.join_files([f for f in store.files(parts, False) if "/part-" in f], f"{parts}/_whole")
+    _put(store, f"{parts}/_whole", path, parts)
 
 
 def place_of_lines(spark: SparkSession, path: str) -> DataFrame:
