@@ -122,6 +122,19 @@ def ensure_think_block(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("")).otherwise(let(py_strip(c), fixed))
 
 
+_HELD = r"[\x01<\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def as_prose(c: Column) -> Column:
+    """A text to be taken as prose alone: tags in it are no tags, white space beyond ASCII's is none, and an empty text is one. ``from_prose`` takes it back."""
+    return F.when(c == "", F.lit("\x01\x01")).otherwise(F.regexp_replace(c, _HELD, "\x01$0\x01"))
+
+
+def from_prose(c: Column) -> Column:
+    """What holds texts from ``as_prose``, with the texts as they were."""
+    return let(c, lambda x: F.when(F.contains(x, F.lit("\x01")), F.regexp_replace(x, r"(?s)\x01(?:(.)\x01|\x01)", "$1")).otherwise(x))
+
+
 def compression_suffix(eos: str = DEFAULT_EOS) -> Column:
     return F.lit(f"{eos}{COMPRESSED_MARK}{eos}")
 

@@ -175,13 +175,13 @@ def exported_array(spark, sf_dir):
     """Refined by a stand-in and written as one JSON array, in the order of the lines."""
     c = table(spark, sf_dir, "conversations")
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("compressed_output"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), T.as_prose(F.col("text")).alias("compressed_output"))
     rows = q.join(a, ["conv_id", "turn"]).withColumn("original_output", F.when(F.col("turn") % 4 != 0, F.col("compressed_output")).otherwise(""))
     lines = rows.select(F.struct("conv_id", "turn").alias("at"), F.to_json(F.struct("question", "compressed_output", "original_output")).alias("value"))
     target = f"{work_folder(spark, 'sft')}/sft.json"
     runs.export_sft(spark, as_file(lines, "at"), lambda: lambda messages: " refined ", target)
     entries = jsonl.read_json_array(spark, target, "instruction string, input string, output string")
-    return entries.select(F.col("place").cast("long").alias("place"), F.md5("x.instruction").alias("instruction"), F.md5("x.output").alias("output"))
+    return entries.select(F.col("place").cast("long").alias("place"), F.md5("x.instruction").alias("instruction"), F.md5(T.from_prose(F.col("x.output"))).alias("output"))
 
 
 @query(f"WITH {_TRACES} SELECT row_number() OVER (ORDER BY level, sample_id) - 1 AS place, sample_id, level FROM t WHERE level <> 'none'")
